@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
+from .urls import url_host_path
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -189,13 +190,6 @@ def template_lines(own: list[int], own_sizes: list[int], other: list[int], other
     return shared
 
 
-def url_host_path(url: str = "url") -> tuple[Column, Column]:
-    """Host (after the first :// up to /, ?, # or end, A-Z lower-cased) and path (from there up to ?, # or end); both empty if null or without ://."""
-    rest = F.when(F.col(url).contains("://"), F.regexp_replace(F.col(url), r"(?s)^.*?://", "")).otherwise(F.lit(""))
-    host, path = F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 1), F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 2)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), F.coalesce(path, F.lit(""))
-
-
 def _signed(data: bytes | str) -> int:
     x = xxhash.xxh64_intdigest(data)
     return x - (1 << 64) if x >> 63 else x

@@ -40,12 +40,46 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+#: Host, path and action of the filter that pages are judged by.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge_urls, rule_table
+
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
     return assign_shards(read_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import findings
+
+    return findings(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
@@ -53,5 +87,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_page_text, op2_pii, op3_packing, op4_simhash, op8_rendezvous, op10_token_counts)
+    f.__name__: f for f in (op1_page_text, op2_pii, op3_packing, op4_simhash, op5_url_filter, op6_decontamination, op7_quality, op8_rendezvous, op9_secrets, op10_token_counts)
 }
