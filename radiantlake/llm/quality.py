@@ -107,5 +107,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return judged(docs).where("kept").select("_row.*")
+    """The documents that pass, with all their columns.
+
+    Rows that pass are generated rather than filtered: a filter would be pushed down
+    through the steps of features(), each step repeated for every use of its result."""
+    return judged(docs).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")

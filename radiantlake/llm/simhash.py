@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns
+from .common import bounded, checkpointed, map_columns
 from .components import connected_components
 
 CHUNK = 1 << 16
+#: Documents that go (16 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -38,16 +40,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for every row."""
+    """doc_id, text_hash, fp (the fingerprint's bits as a signed long) for every row."""
 
     def factory():
         def step(cols):
             fps = [fingerprint(t, shingle) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "fp": [x - (1 << 64) if x >> 63 else x for x in fps]}
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [x - (1 << 64) if x >> 63 else x for x in fps]}
 
         return step
 
-    return map_columns(docs.select("doc_id", "text"), factory, "doc_id bigint, fp bigint")
+    return map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), factory, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -63,12 +65,17 @@ def links(fps: DataFrame) -> DataFrame:
     rather than paired, and each chain link's whole distance is verified."""
     ball = F.concat(F.array("fp"), *(F.transform(F.sequence(F.lit(lo), F.lit(lo + 31)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))) for lo in (0, 32)))
     keys = fps.select("fp", F.explode(ball).alias("key"))
-    from pyspark.sql import Window
-
     chain = keys.withColumn("before", F.lag("fp").over(Window.partitionBy("key").orderBy("fp")))
     return chain.where(F.col("before").isNotNull() & (F.bit_count(F.col("before").bitwiseXOR(F.col("fp"))) <= 2)).select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def _roots(own: DataFrame) -> DataFrame:
+    """class_fp, root for every distinct fingerprint of own; equal roots are linked."""
+    distinct = own.select("fp").distinct()
+    stars = connected_components(links(distinct))
+    return checkpointed(distinct.join(stars, distinct.fp == stars.node, "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs.
 
@@ -79,10 +86,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     none; other columns are ignored. Exact copies collapse to one fingerprint
     before any pair is sought, and every join back is by fingerprint."""
     own = checkpointed(fingerprints(docs, shingle))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    stars = connected_components(links(distinct.select("fp")))
-    rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
+    roots = _roots(own)
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    least = first.join(roots, first.fp == roots.class_fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = roots.join(least, "root").select("class_fp", "component_id")
     return own.join(classes, own.fp == classes.class_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns: the first by
+    doc_id (null last), then fingerprint and text hash; of equal rows one.
+
+    Groups are decided on ids and hashes. Those that go meet the texts again by
+    doc_id and text hash, broadcast while they are few. Rows that repeat the one
+    which stays can't be told apart so; where there are any, only they are grouped."""
+    own = checkpointed(fingerprints(docs, shingle))
+    roots = _roots(own)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")
+    counts = own.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    counts = checkpointed(counts.join(roots, counts.fp == roots.class_fp).select(rank.alias("rank"), "root", "n"))
+    first = counts.groupBy("root").agg(F.min("rank").alias("first"))
+    gone = counts.join(first, "root").select(F.col("rank.doc_id").alias("_id"), F.col("rank.text_hash").alias("_hash"), (F.col("rank") == F.col("first")).alias("twin"), "n").where("n > 1 or not twin")
+    gone = checkpointed(gone)
+    twins = gone.where("twin")
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+
+    def meet(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if bounded(keys, BROADCAST_KEYS) else keys
+        return rows.join(keys, (rows.text_hash == keys._hash) & rows.doc_id.eqNullSafe(keys._id), how)
+
+    kept = meet(rows, gone, "left_anti").select("_row.*")
+    if bounded(twins, 0):
+        return kept
+    once = meet(rows, twins, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("_row").alias("_row"))
+    return kept.unionByName(once.select("_row.*"))
