@@ -17,15 +17,25 @@ ODD = re.compile("[^\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-įı-ſ–—‘-”•
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\\sa-z0-9À-ÖØ-öø-ſ]+")
 
 
+# Byte-level form: a printable byte is its Latin-1 character, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordIds(dict):
-    """Pre-token to its ids as little-endian bytes; emptied when full."""
+    """Pre-token to its ids as little-endian bytes; emptied when full.
+
+    Pre-tokens go to the tokenizer's model directly, in the byte-level form that its
+    own pre-tokenizer would give them."""
 
     def __init__(self, tokenizer, max_entries: int):
         super().__init__()
         self.tokenizer, self.max_entries = tokenizer, max_entries
+        self.model = tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))
+        ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
         if len(word) <= 48:
             if len(self) >= self.max_entries:
                 self.clear()
@@ -42,7 +52,7 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, max_entries: int = 300_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, max_entries: int = 1_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and end_id, cut
     into pieces of capacity only where longer."""
 
