@@ -71,15 +71,21 @@ _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _BETWEEN = r"[ \t]*[,;/-]?[ \t\n]*"
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus{_BETWEEN})?(?:{_DIGIT_WORD})(?:{_BETWEEN}(?:(?:dot|point|punto|punkt){_BETWEEN})?(?:{_DIGIT_WORD}))" + r"{3,}(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"plus|dot|point|punto|punkt|{_DIGIT_WORD}", re.I)
-SPELLED_HINT = re.compile(rf"(?:{_DIGIT_WORD})[ \t,;/-]{{1,3}}(?:{_DIGIT_WORD})[ \t\n,;/-]{{1,3}}(?:{_DIGIT_WORD})", re.I)
+# Words that runs of spelled digits are made of, for a first look at a text's words.
+RUN_WORDS = frozenset([*SPELLED, "dot", "point", "punto", "punkt", "plus"])
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|\s*(?:&#64;|&#x40;|&commat;|%40)\s*|\s+@\s+|\s+@|@\s+)"
 _AT_WORD = r"\s+(?:at|arroba|arobase)\s+"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*|\s*(?:&#46;|&#x2e;|&period;)\s*|\s+(?:dot|punto|punkt)\s+)"
 AT = re.compile(f"{_AT}|{_AT_WORD}", re.I)
 AT_WORD = re.compile(_AT_WORD, re.I)
 DOT = re.compile(_DOT, re.I)
-AT_HINT = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]|&#64;|&#x40;|&commat;|%40|\s@|@\s|\b(?:arroba|arobase)\b", re.I)
-DOT_HINT = re.compile(r"[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]|&#46;|&#x2e;|&period;|\b(?:dot|punto|punkt)\b", re.I)
+# First looks, at a lower-cased text: each begins with a literal or a few characters, which makes them fast.
+AT_MARKS = ("&#64;", "&#x40;", "&commat;", "%40", "arroba", "arobase")
+DOT_MARKS = ("&#46;", "&#x2e;", "&period;", "punto", "punkt", "dot")
+BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|dot|punto|point|punkt|\.)\s*[\])}>]")
+SPACED_AT = re.compile(r"@\s|\s@")
+BARE_AT = re.compile(r" at\s+[a-z0-9-]+\.[a-z]")
+DOT_WORD = re.compile(r"\b(?:dot|punto|punkt)\b")
 BEFORE_AT = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*\Z", re.I)
 AFTER_AT = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
@@ -188,18 +194,31 @@ def unspell_digits(tape: Tape) -> list[tuple[int, int]]:
     return bare
 
 
+def _signs(low: str) -> bool:
+    """Whether a lower-cased text may disguise an at sign or a dot."""
+    if any(x in low for x in AT_MARKS) or "@" in low and SPACED_AT.search(low) or BRACKETED.search(low) or BARE_AT.search(low):
+        return True
+    return any(x in low for x in DOT_MARKS[:3]) or any(x in low for x in DOT_MARKS[3:]) and bool(DOT_WORD.search(low))
+
+
+def _spelled(low: str) -> bool:
+    """Whether a lower-cased text has four digit words (or signs between them) in a row."""
+    words = low.replace(",", " ").replace(";", " ").replace("/", " ").replace("-", " ").split()
+    return b"\1\1\1\1" in bytes(map(RUN_WORDS.__contains__, words))
+
+
 def disguised(text: str) -> list[tuple[int, int, str, int]]:
     """Spans, in text, of identifiers that show only when its disguises are undone."""
     odd = bool(GLYPH.search(text)) or bool(DIGIT.search(text) and GLYPH_NEAR.search(text))
-    signs = bool(AT_HINT.search(text) or DOT_HINT.search(text)) or " at " in text
-    digits = bool(SPELLED_HINT.search(text))
+    signs, digits = _signs(low := text.lower()), _spelled(low)
     if not (odd or signs or digits):
         return []
     tape, bare = Tape(text), []
     if odd:
         unglyph(tape)
-    unspell_signs(tape)
-    if digits or odd and SPELLED_HINT.search(tape.text):
+    if signs or odd and _signs(tape.text.lower()):
+        unspell_signs(tape)
+    if digits or odd and _spelled(tape.text.lower()):
         bare = unspell_digits(tape)
     found = [(s, 3, "phone", e) for s, e in bare]
     if tape.edited.any():
