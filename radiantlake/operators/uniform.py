@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def code(x: Column, low: Column, width: Column, bits: int) -> Column:
     return F.least(F.greatest(F.rint((x - low) / width), F.lit(0.0)), F.lit(float((1 << bits) - 1))).cast("int")
 
 
+def middle(q: Column, low: Column, width: Column) -> Column:
+    return q * width + low
+
+
+def _each(column: str, f) -> Column:
+    return F.transform(column, lambda x: f(x))
+
+
 def quantize(df: DataFrame, bits: dict[str, int]) -> DataFrame:
     """df with each array column replaced by its codes, and columns NAME_low, NAME_step.
 
@@ -35,12 +45,12 @@ def quantize(df: DataFrame, bits: dict[str, int]) -> DataFrame:
     out = {}
     for c, b in bits.items():
         low, width = F.col(f"{c}_low"), step(F.col(f"{c}_low"), F.col(f"{c}_high"), b)
-        out[c] = F.transform(c, lambda x, low=low, width=width, b=b: code(x, low, width, b))
+        out[c] = _each(c, partial(code, low=low, width=width, bits=b))
         out[f"{c}_step"] = width
     return joined.withColumns(out).drop(*(f"{c}_high" for c in bits))
 
 
 def dequantize(df: DataFrame, columns: list[str]) -> DataFrame:
     """The inverse: codes back to the middle of their levels."""
-    out = {c: F.transform(c, lambda q, c=c: q * F.col(f"{c}_step") + F.col(f"{c}_low")) for c in columns}
+    out = {c: _each(c, partial(middle, low=F.col(f"{c}_low"), width=F.col(f"{c}_step"))) for c in columns}
     return df.withColumns(out).drop(*(f"{c}_{x}" for c in columns for x in ("low", "step")))
