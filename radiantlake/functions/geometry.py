@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .scalars import dot, matvec, unit
@@ -23,7 +24,7 @@ def rotation_matrix(q: Column, normalize: bool = True) -> Column:
     )
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def quaternion(rows: pd.Series) -> pd.Series:
     """Quaternion (w, x, y, z), w >= 0, of a rotation matrix: the eigenvector of the
     largest eigenvalue of its symmetric 4 x 4 form, which also gives the nearest

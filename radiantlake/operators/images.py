@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 INF = float("inf")
@@ -63,7 +64,7 @@ def ssim(df: DataFrame, a: str, b: str, height: str = "height", width: str = "wi
     return df.withColumn("ssim", score(a, b, height, width))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def bilinear(grid: pd.Series, width: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Values of a flat grid at points, between its cells' centres; the border's value beyond it."""
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.scalars import dot, norm
@@ -76,7 +77,7 @@ def decode_bulk(df: DataFrame, d: int, bits: int, seed: int = 0, name: str = "de
     """df with the vector that its norm and codes stand for."""
     turn, _, levels = _batches(d, bits, seed)
 
-    @pandas_udf("array<double>")
+    @pandas_udf(T.ArrayType(T.DoubleType()))
     def vectors(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for codes, n in parts:
             y = levels[np.array(codes.tolist(), dtype=int).reshape(len(codes), d)]
@@ -85,7 +86,7 @@ def decode_bulk(df: DataFrame, d: int, bits: int, seed: int = 0, name: str = "de
     return df.withColumn(name, vectors("codes", "norm"))
 
 
-@pandas_udf("float")
+@pandas_udf(T.FloatType())
 def half(x: pd.Series) -> pd.Series:
     """A number as half precision keeps it."""
     return x.astype("float16").astype("float32")
