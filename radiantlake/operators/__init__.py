@@ -1 +1 @@
-""""""
+"""Operators over tables of primitives, metrics and cameras."""

@@ -1 +1 @@
-""""""
+"""Whole codecs and registered queries."""

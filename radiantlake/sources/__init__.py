@@ -1 +1 @@
-""""""
+"""Files: PLY, reconstructions, JSON beside scenes, array containers."""
