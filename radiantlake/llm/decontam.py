@@ -11,8 +11,8 @@ from .common import bounded
 WINDOW = 5
 #: Windows of an item that a document must hold, as a share.
 COVERAGE = 0.5
-#: Slots of an item that must map to one value each, as a share of its matched slots.
-CONSISTENT = 0.8
+#: Slots of an item that must map to one value each, as a share of its matched slots: all.
+CONSISTENT = 1.0
 #: Benchmark windows (about 100 bytes each) that are broadcast at most; more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Contaminated documents (about 50 bytes each) that are broadcast at most when documents are filtered.
