@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, checkpointed, map_columns
@@ -12,31 +12,57 @@ from .components import connected_components
 CHUNK = 1 << 16
 #: Documents that go (16 bytes each) that are broadcast at most.
 BROADCAST_KEYS = 200_000
+#: Wide fingerprints: bits of a segment, segments, and bits that linked documents may differ in.
+WIDE_BITS = 28
+WIDE_SEGMENTS = 9
+WIDE_RADIUS = 36
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of a whole text, unsigned 64 bit.
+# Odd multipliers that give each further lane of a wide fingerprint hashes of its own.
+LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _majorities(text: str | None, shingle: int, lanes: int) -> list[int]:
+    """For each lane of 64 bits, the bits set in over half the hashes of a whole text's shingles.
 
     A-Z are lower-cased, words are runs of anything but the six ASCII white-space
-    characters, and each of the shingles (repeats included) votes with XXH64 (seed
-    42). A bit is 1 if set in over half the hashes. Fewer words than a shingle: the
-    whole sequence is the one shingle; no words or null: zero."""
+    characters, shingles count as often as they come. Lane 0 is XXH64 (seed 42) of the
+    shingle, further lanes mix it anew. Fewer words than a shingle: the whole sequence
+    is the one shingle; no words or null: zero."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * lanes
     hash64, seed = xxhash.xxh64_intdigest, 42
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((lanes, 64), dtype=np.int64)
     for at in range(0, n, CHUNK):  # bounds the memory of a very long text
         part = words[at : min(at + CHUNK, n) + shingle - 1]
         grams = zip(*(part[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [part]
-        hashes = np.array([hash64(b" ".join(g), seed) for g in grams], dtype=">u8")
-        # at most CHUNK votes a chunk, summed from bytes through 16 bit lanes
-        bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        hashes = np.array([hash64(b" ".join(g), seed) for g in grams], dtype=np.uint64)
+        for lane in range(lanes):
+            x = hashes
+            if lane:
+                x = x * np.uint64(LANES[lane - 1])
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                x = x ^ (x >> np.uint64(29))
+            counts[lane] += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return [int.from_bytes(np.packbits(c * 2 > n).tobytes(), "big") for c in counts]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of a whole text, unsigned 64 bit."""
+    return _majorities(text, shingle, 1)[0]
+
+
+def wide_fingerprint(text: str | None, shingle: int = 3) -> list[int]:
+    """SimHash of 256 bits as four unsigned lanes."""
+    return _majorities(text, shingle, 1 + len(LANES))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -45,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def factory():
         def step(cols):
             fps = [fingerprint(t, shingle) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [x - (1 << 64) if x >> 63 else x for x in fps]}
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [_signed(x) for x in fps]}
 
         return step
 
@@ -69,10 +95,54 @@ def links(fps: DataFrame) -> DataFrame:
     return chain.where(F.col("before").isNotNull() & (F.bit_count(F.col("before").bitwiseXOR(F.col("fp"))) <= 2)).select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def _roots(own: DataFrame) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, text_hash, lanes, fp (a hash of the lanes) for every row."""
+
+    def factory():
+        def step(cols):
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "lanes": [[_signed(x) for x in wide_fingerprint(t, shingle)] for t in cols["text"]]}
+
+        return step
+
+    rows = map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), factory, "doc_id bigint, text_hash bigint, lanes array<bigint>")
+    return rows.withColumn("fp", F.xxhash64("lanes"))
+
+
+def _segment(i: int) -> Column:
+    """Bits of segment i of the lanes."""
+    lane, shift = divmod(i * WIDE_BITS, 64)
+    x = F.shiftrightunsigned(F.col("lanes")[lane], shift)
+    if shift + WIDE_BITS > 64:
+        x = x.bitwiseOR(F.shiftleft(F.col("lanes")[lane + 1], 64 - shift))
+    return x.bitwiseAND(F.lit((1 << WIDE_BITS) - 1))
+
+
+def wide_links(fps: DataFrame, radius: int) -> DataFrame:
+    """a, b: links between wide fingerprints (fp, lanes) at radius or fewer of 256 bits.
+
+    Nine segments of 28 bits: fingerprints at 26 bits or less differ by at most two in
+    some segment, so their balls of radius 1 in it meet in a key; up to 36 bits nearly
+    all do. A bucket's rows are chained and tied to its first rather than paired, and
+    the candidates' complete distances are verified."""
+    ball = [F.array(*(_segment(i).bitwiseXOR(F.lit(x | i << WIDE_BITS)) for x in (0, *(1 << k for k in range(WIDE_BITS))))) for i in range(WIDE_SEGMENTS)]
+    keys = fps.select("fp", F.explode(F.flatten(F.array(*ball))).alias("key"))
+    w = Window.partitionBy("key").orderBy("fp")
+    met = keys.select("fp", F.lag("fp").over(w).alias("before"), F.first("fp").over(w).alias("first")).where(F.col("before").isNotNull())
+    pairs = met.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("a"), F.col("fp").alias("b")).distinct()
+    left, right = (fps.select(F.col("fp").alias(c), F.col("lanes").alias(f"{c}_lanes")) for c in "ab")
+    apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").where(apart <= radius).select("a", "b")
+
+
+def _roots(own: DataFrame, wide: int = 0) -> DataFrame:
     """class_fp, root for every distinct fingerprint of own; equal roots are linked."""
-    distinct = own.select("fp").distinct()
-    stars = connected_components(links(distinct))
+    if wide:
+        distinct = own.groupBy("fp").agg(F.first("lanes").alias("lanes"))
+        # dealt evenly before each row becomes 261
+        stars = connected_components(wide_links(checkpointed(distinct), wide))
+    else:
+        distinct = own.select("fp").distinct()
+        stars = connected_components(links(distinct))
     return checkpointed(distinct.join(stars, distinct.fp == stars.node, "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("root")))
 
 
@@ -93,15 +163,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return own.join(classes, own.fp == classes.class_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = WIDE_RADIUS) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the first by
     doc_id (null last), then fingerprint and text hash; of equal rows one.
 
+    Fingerprints have 256 bits here: 64 bits at 2 miss nearly all copies that share 0.8
+    of their five-word shingles. Such copies are, in 3-word shingles, about 30 of 256
+    bits apart, unrelated texts 128.
+
     Groups are decided on ids and hashes. Those that go meet the texts again by
     doc_id and text hash, broadcast while they are few. Rows that repeat the one
     which stays can't be told apart so; where there are any, only they are grouped."""
-    own = checkpointed(fingerprints(docs, shingle))
-    roots = _roots(own)
+    own = checkpointed(wide_fingerprints(docs, shingle))
+    roots = _roots(own, radius)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")
     counts = own.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
     counts = checkpointed(counts.join(roots, counts.fp == roots.class_fp).select(rank.alias("rank"), "root", "n"))

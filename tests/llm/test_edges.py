@@ -178,9 +178,9 @@ def test_keep_first(spark):
     got = simhash.keep_first(table(spark))
     assert got.columns == table(spark).columns
     kept = collections.Counter((r.doc_id, r.text) for r in got.collect())
-    fps = {(i, t): brute.fingerprint(t or "") for i, t, _ in TEXTS}
+    fps = {(i, t): sum(x << 64 * k for k, x in enumerate(simhash.wide_fingerprint(t))) for i, t, _ in TEXTS}
     keys = sorted(fps, key=lambda k: (k[0] is None, k[0] or 0))
-    own = brute.components({n: fps[k] for n, k in enumerate(keys)})
+    own = brute.components({n: fps[k] for n, k in enumerate(keys)}, simhash.WIDE_RADIUS)
     assert sum(kept.values()) == len(set(own.values()))
     assert kept[1, TEXTS[0][1]] == 1 and kept[2, TEXTS[0][1]] == 0
     twins = table(spark, [(1, "same text here", "s")] * 3 + [(2, "another one altogether", "s")])
@@ -188,6 +188,34 @@ def test_keep_first(spark):
     assert simhash.keep_first(table(spark, [])).count() == 0
 
 
+def test_wide_links_find_near_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, truth = [], {}
+    for k in range(60):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((60, 200, 600)))]
+        rows.append((2 * k, " ".join(words), "s"))
+        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            words[at] = f"x{rng.randrange(4000)}"
+        rows.append((2 * k + 1, " ".join(words), "s"))
+        truth[2 * k + 1] = 2 * k
+    left = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
+    assert left >= set(truth.values())
+    assert len(left & truth.keys()) <= 3
+
+
+def test_wide_segments(spark):
+    import random
+
+    rng = random.Random(9)
+    lanes = [rng.getrandbits(64) for _ in range(4)]
+    whole = sum(x << 64 * k for k, x in enumerate(lanes))
+    df = spark.createDataFrame([([simhash._signed(x) for x in lanes],)], "lanes array<long>")
+    got = df.select(*(simhash._segment(i).alias(f"s{i}") for i in range(simhash.WIDE_SEGMENTS))).first()
+    assert list(got) == [whole >> (28 * i) & ((1 << 28) - 1) for i in range(9)]
+
+
 def test_urls(spark):
     urls = [None, "", "example.org/es/x", "http://EXAMPLE.org/es/1", "https://a.example.org/en/1", "http://notexample.org/es/", "x://org", "x://org/", "http://de.com/de/?q=/fr/", "http://a.b.com/fr/#x", "://com/de/", "http://example.org?x", "a://b://com/de/", "http://example.org/en/148.html", "http://com\n/de/"]
     df = spark.createDataFrame([(k % 5 if k else None, u, "h", "r") for k, u in enumerate(urls)] * 2, "page_id long, url string, host string, rule string")
