@@ -44,6 +44,11 @@ def with_depth_params(images: DataFrame, params: DataFrame) -> DataFrame:
     return keyed.join(params.select(F.col("name").alias("_stem"), "scale", "offset"), "_stem", "left").drop("_stem")
 
 
+def with_exposure(images: DataFrame, exposures: DataFrame) -> DataFrame:
+    """Images with their exposure matrix by name; null where there is none."""
+    return images.join(exposures, "name", "left")
+
+
 def flagged(images: DataFrame, test_names: DataFrame) -> DataFrame:
     """Images with is_test: whether their name is listed."""
     listed = test_names.select(F.col("name")).distinct().withColumn("is_test", F.lit(True))

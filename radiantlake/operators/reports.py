@@ -104,3 +104,18 @@ def probe_views(df: DataFrame, by: list[str], within: list[str], places: tuple[i
     w = Window.partitionBy(*within)
     rows = df.withColumn("_i", F.row_number().over(w.orderBy(*by)) - 1).withColumn("_n", F.count("*").over(w))
     return rows.withColumn("probe", F.explode(F.array(*(F.lit(p) for p in places)))).where(F.col("probe") % F.col("_n") == F.col("_i")).drop("_i", "_n")
+
+
+def summary(df: DataFrame, rows: str, columns: str, values: list, metric: str, places: int = 3) -> DataFrame:
+    """Mean metric, rounded, with a column for each of the stated values."""
+    return df.groupBy(rows).pivot(columns, values).agg(F.round(F.avg(metric), places))
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """df in an order that key and seed decide, whatever the partitions."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have equal rows, equally often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -251,3 +251,23 @@ def threshold_sweep(df: DataFrame, resolution: int, thresholds: tuple[int, ...]
         one = merging.merge_statistics(rows, t).withColumn("threshold", F.lit(t))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def factor_sweep(df: DataFrame, components: tuple[int, ...], clusters: tuple[int | None, ...] = (None,), grid: int = 32, options: Options = Options(sh_bits=2, dc_bits=10, scale_bits=8)) -> DataFrame:
+    """components, clusters (null: no codebooks), attribute, mse, nmse for every pair of settings."""
+    out = None
+    for k in components:
+        for c in clusters:
+            coded, facts = compress_factors(df, k, options, None if c is None else grid, c or 256)
+            one = attribute_errors(df, decompress_factors(coded, facts)).select(F.lit(k).alias("components"), F.lit(c).cast("int").alias("clusters"), "attribute", "mse", "nmse")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scene_report(df: DataFrame, options: Options = Options()) -> DataFrame:
+    """One row: primitives before and after, stored bits, compression ratio, and error of each attribute."""
+    coded = compress(df, options)
+    errors = attribute_errors(df, decompress(coded, options)).groupBy().pivot("attribute", [*attributes.WIDTHS, "opacity"]).agg(F.first("nmse"))
+    counts = df.agg(F.count("*").alias("n_before")).crossJoin(coded.agg(F.count("*").alias("n_after")))
+    bits = stored_bits(options)
+    return counts.withColumn("bits", F.lit(bits)).withColumn("ratio", F.when(F.col("n_after") > 0, F.col("n_before") * 59 * 32 / (F.col("n_after") * bits))).crossJoin(errors)

@@ -318,3 +318,21 @@ def test_sweep(spark, small):
     rows = {(r.bits, r.scene): r.nmse for r in queries.bit_sweep(spark, small).collect()}
     for scene in {s for _, s in rows}:
         assert rows[1, scene] > rows[2, scene] > rows[3, scene] > rows[4, scene]
+
+
+def test_small_reports(spark, prims):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 2, 4.0)], "s string, k int, v double")
+    assert sorted(map(tuple, reports.summary(df, "s", "k", [1, 2], "v").collect())) == [("a", 1.5, None), ("b", None, 4.0)]
+    ids = [r.splat_id for r in reports.shuffled(prims, "splat_id", 3).select("splat_id").collect()]
+    assert ids != sorted(ids) and ids == [r.splat_id for r in reports.shuffled(prims.repartition(3), "splat_id", 3).select("splat_id").collect()]
+    assert reports.same_rows(df, df.orderBy("v")) and not reports.same_rows(df, df.union(df))
+    shots = spark.createDataFrame([("x",), ("y",)], "name string")
+    light = spark.createDataFrame([("x", [[1.0]])], "name string, matrix array<array<double>>")
+    assert {r.name: r.matrix for r in cameras.with_exposure(shots, light).collect()} == {"x": [[1.0]], "y": None}
+
+
+def test_scene_report(spark, prims):
+    r = codecs.scene_report(prims, codecs.Options(prune_ratio=0.5)).first()
+    assert r.n_after == r.n_before // 2 and r.ratio > 4 and 0 < r.sh_rest < 0.2
+    rows = codecs.factor_sweep(prims, (8, 45)).where("attribute = 'sh_rest'").collect()
+    assert {x.components: x.nmse for x in rows}[45] < {x.components: x.nmse for x in rows}[8]
