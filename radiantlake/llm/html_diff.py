@@ -16,7 +16,7 @@ from .common import checkpointed, small_batches
 from .urls import url_host_path
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|style|hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: What may begin a tag; an unfinished one at the end of a page is no text.
 TAG_OPEN = re.compile(r"<[A-Za-z/!?]")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -29,8 +29,15 @@ APART = frozenset("nav footer aside form menu dialog button head search".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in a class, an id or a role that say the same of any element.
 APART_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentary consent contentinfo complementary cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promos promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertising advertorial alert alerts banner breadcrumb breadcrumbs comment comments commentary consent contentinfo complementary disclaimer discussion cookie cookies disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promos promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+# Words of a class or an id that name the part of a page with the main text, if nothing better does.
+MAIN_WORDS = frozenset("articlebody articlecontent articletext content contentmain entry entrycontent main maincontent maintext pagecontent post postbody postcontent story storybody".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+# How sure a block's surroundings make it main text.
+NAMED, MAIN, ARTICLE = 1, 2, 3
+#: Named parts count only if they hold at least so much of the text.
+MOST = 0.5
 #: Pages that share at least so much of the shorter one's text are copies, not a template.
 COPY = 0.8
 #: Bits that one alignment keeps at most; beyond, the alignment is halved.
@@ -40,9 +47,10 @@ CELLS = 1 << 28
 def parse(html: str | None) -> tuple[list[str], bool]:
     """Blocks that may be main text in page order, and whether an article (or main) element holds them.
 
-    Unclosed elements end where their parent does; p and li end where the next begins."""
+    Blocks of article elements if there are any, else of main, else of parts whose
+    class or id says so if those hold most of the text, else all that is left. Unclosed elements end where their parent does; p and li end where the next begins."""
     page = html or ""
-    stack: list[tuple[str, bool, int]] = []  # tag, apart, depth in an article (2) or in main (1)
+    stack: list[tuple[str, bool, int]] = []  # tag, apart, how sure
     apart, level = False, 0
     runs: list[tuple[str, int]] = []
     own: list[str] = []
@@ -94,26 +102,31 @@ def parse(html: str | None) -> tuple[list[str], bool]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "menu"):
                     break
-        words, role = set(), ""
+        words, named, role = set(), set(), ""
         if m[3] and not m[3].isspace():
             for a in ATTRIBUTE.finditer(m[3]):
                 value = a[2] or a[3] or a[4] or ""
                 name = a[1].lower()
                 if name in ("role", "itemprop"):
                     role += f" {value}"
-                elif name == "hidden":
-                    words |= {"hidden"} if not value else set()
+                elif name == "hidden" or name == "style" and HIDDEN.search(value):
+                    words.add("hidden")
                 if name in ("class", "id", "role"):
                     words |= {t.lower() for t in TOKEN.findall(value)}
+                if name in ("class", "id"):
+                    named |= {re.sub("[^a-z]", "", t.lower()) for t in value.split()}
+        words |= named
         inside = level
         if tag == "article" or "articleBody" in role:
-            inside = 2
+            inside = ARTICLE
         elif tag == "main" or " main" in role:
-            inside = max(1, level)
-        off = tag in APART or tag == "header" and not level
+            inside = max(MAIN, level)
+        elif named & MAIN_WORDS and tag not in ("html", "body"):
+            inside = max(NAMED, level)
+        off = tag in APART or tag == "header" and level < MAIN
         if words and not off and tag not in ("html", "body", "main") and tag not in HEADINGS:
             off = bool(words & APART_WORDS) if tag != "article" else bool(words & {"comment", "comments", "reply", "replies"})
-            off = off or "header" in words and not level and tag not in ("article",)
+            off = off or "header" in words and level < MAIN and tag != "article"
         if tag in BLOCKS or off or apart:
             if off and tag not in BLOCKS:
                 flush()
@@ -123,7 +136,9 @@ def parse(html: str | None) -> tuple[list[str], bool]:
         own.append(unescape(page[low:].split("<", 1)[0] if TAG_OPEN.search(page, low) else page[low:]))
     flush()
     best = max((x for _, x in runs), default=0)
-    return [t for t, x in runs if x == best], best > 0
+    if best == NAMED and sum(len(t) for t, x in runs if x) < MOST * sum(len(t) for t, _ in runs):
+        best = 0
+    return [t for t, x in runs if x >= best], best >= MAIN
 
 
 

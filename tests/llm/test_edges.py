@@ -387,6 +387,8 @@ PAGES = [
     ("http://i.example/", "plain words only", "plain words only"),
     (None, None, ""),
     ("odd", "", ""),
+    ("http://k.example/1", "<div class='pageHeader'>Logo</div><div class=main-content><p>Named part, with most of the text of the page.</p><p style='display: none'>x</p></div><div>Tail</div>", "Named part, with most of the text of the page."),
+    ("http://l.example/1", "<div class=content>Teaser</div><div class=text><p>But most of the text is not in the part so named.</p></div><div id=sideBar>Side</div><div class=side-bar>x</div>", "Teaser\n\nBut most of the text is not in the part so named."),
     ("http://j.example/x", "<p>unfinished <b>tag", "unfinished tag"),
     ("http://j.example/y", "<div class='cookie-notice'>We use cookies</div><div class=post><p>Body text of its own</p></div><div id=comments><p>nice</p></div>", "Body text of its own"),
 ]
