@@ -412,13 +412,12 @@ def covariances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def views(spark: SparkSession, sf: str) -> DataFrame:
-    """A camera for each of the first twelve suppliers."""
-    rows = table(spark, sf, "supplier").where("s_suppkey < 12")
-    k = F.col("s_suppkey").cast("double")
-    return rows.select(F.col("s_suppkey").cast("int").alias("camera_id"), F.array(F.cos(k / 2) * 3, F.sin(k / 2) * 3, k / 10).alias("center"))
+    """A camera for each nation."""
+    k = F.col("n_nationkey").cast("double")
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("camera_id"), F.array(F.cos(k / 2) * 3, F.sin(k / 2) * 3, k / 10).alias("center"))
 
 
-_VIEWS = "vw AS (SELECT s_suppkey::INT AS camera_id, cos(s_suppkey / 2) * 3 AS cx, sin(s_suppkey / 2) * 3 AS cy, s_suppkey / 10 AS cz FROM supplier WHERE s_suppkey < 12)"
+_VIEWS = "vw AS (SELECT n_nationkey::INT AS camera_id, cos(n_nationkey / 2) * 3 AS cx, sin(n_nationkey / 2) * 3 AS cy, n_nationkey / 10 AS cz FROM nation)"
 _C0, _C1 = math.sqrt(1 / (4 * math.pi)), math.sqrt(3 / (4 * math.pi))
 
 
@@ -483,18 +482,18 @@ def images_with_depth(spark: SparkSession, sf: str) -> DataFrame:
     return cameras.with_depth_params(shots, params).select("image_id", "scale", "offset")
 
 
-@query("SELECT is_test, count(*) AS n FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) AS is_test FROM customer) GROUP BY is_test")
+@query("SELECT is_test, count(*) AS n FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') AS is_test FROM customer) GROUP BY is_test")
 def listed_tests(spark: SparkSession, sf: str) -> DataFrame:
     shots = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"))
-    listed = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("name"))
+    listed = table(spark, sf, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("name"))
     return cameras.flagged(shots, listed).groupBy("is_test").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS image_id, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_partkey % 5 <> 0 GROUP BY o_orderkey")
+@query("SELECT o_orderkey AS image_id, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R' GROUP BY o_orderkey")
 def observed_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as observations of parts; every fifth part is no point."""
+    """Line items as observations of parts; returned ones observe none."""
     seen = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    point = F.when(F.col("l_partkey") % 5 == 0, F.lit(-1)).otherwise(F.col("l_partkey"))
+    point = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.col("l_partkey"))
     shots = seen.groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(F.struct(F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"), point.alias("point3d_id"))).alias("observations"))
     points = table(spark, sf, "part").select(F.col("p_partkey").alias("point_id"), "p_retailprice")
     return cameras.observed_points(shots, points).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
