@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import bounded, checkpointed, map_columns
 from .components import connected_components
 
@@ -95,19 +96,6 @@ def links(fps: DataFrame) -> DataFrame:
     return chain.where(F.col("before").isNotNull() & (F.bit_count(F.col("before").bitwiseXOR(F.col("fp"))) <= 2)).select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, text_hash, lanes, fp (a hash of the lanes) for every row."""
-
-    def factory():
-        def step(cols):
-            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "lanes": [[_signed(x) for x in wide_fingerprint(t, shingle)] for t in cols["text"]]}
-
-        return step
-
-    rows = map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), factory, "doc_id bigint, text_hash bigint, lanes array<bigint>")
-    return rows.withColumn("fp", F.xxhash64("lanes"))
-
-
 def _segment(i: int) -> Column:
     """Bits of segment i of the lanes."""
     lane, shift = divmod(i * WIDE_BITS, 64)
@@ -117,51 +105,11 @@ def _segment(i: int) -> Column:
     return x.bitwiseAND(F.lit((1 << WIDE_BITS) - 1))
 
 
-def _candidates(fps: DataFrame) -> DataFrame:
-    """a, b, star: wide fingerprints that meet in a bucket; star tells the bucket's first row from the one before.
-
-    Nine segments of 28 bits: fingerprints at 26 bits or less differ by at most two in
-    some segment, so their balls of radius 1 in it meet in a key; up to 36 bits nearly
-    all do. A bucket's rows are tied to its first and chained rather than paired."""
-    ball = [F.array(*(_segment(i).bitwiseXOR(F.lit(x | i << WIDE_BITS)) for x in (0, *(1 << k for k in range(WIDE_BITS))))) for i in range(WIDE_SEGMENTS)]
-    keys = fps.select("fp", F.explode(F.flatten(F.array(*ball))).alias("key"))
-    w = Window.partitionBy("key").orderBy("fp")
-    met = keys.select("fp", F.lag("fp").over(w).alias("before"), F.first("fp").over(w).alias("first")).where(F.col("before").isNotNull())
-    ties = F.array(F.struct(F.col("first").alias("a"), F.lit(True).alias("star")), F.when(F.col("before") != F.col("first"), F.struct(F.col("before").alias("a"), F.lit(False).alias("star"))))
-    pairs = met.select(F.col("fp").alias("b"), F.explode(F.array_compact(ties)).alias("t"))
-    return pairs.groupBy(F.col("t.a").alias("a"), "b").agg(F.bool_or("t.star").alias("star"))
-
-
-def _verified(pairs: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
-    """The pairs whose complete distance is radius or less."""
-    left, right = (fps.select(F.col("fp").alias(c), F.col("lanes").alias(f"{c}_lanes")) for c in "ab")
-    apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").where(apart <= radius).select("a", "b")
-
-
 def _named(fps: DataFrame, stars: DataFrame) -> DataFrame:
     """class_fp, root of every fingerprint."""
     return checkpointed(fps.join(stars, fps.fp == stars.node, "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("root")))
 
 
-def wide_roots(fps: DataFrame, radius: int) -> DataFrame:
-    """class_fp, root of wide fingerprints (fp, lanes); equal roots are linked at radius or fewer of 256 bits.
-
-    Ties to the first are verified and joined up; then only those chained pairs are
-    verified that these have not joined already."""
-    found = checkpointed(_candidates(fps))
-    roots = _named(fps, connected_components(_verified(found.where("star"), fps, radius)))
-    ends = found.where(~F.col("star")).select("a", "b")
-    for c in "ab":
-        ends = ends.join(roots.select(F.col("class_fp").alias(c), F.col("root").alias(f"{c}_root")), c)
-    more = ends.where("a_root <> b_root").select("a", "b", "a_root", "b_root")
-    more = checkpointed(_verified(more.select("a", "b"), fps, radius).join(more, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
-    if bounded(more, 0):
-        return roots
-    again = connected_components(more).select("node", F.col("root").alias("top"))
-    return checkpointed(roots.join(again, roots.root == again.node, "left").select("class_fp", F.coalesce("top", "root").alias("root")))
-
-
 def _roots(own: DataFrame) -> DataFrame:
     """class_fp, root for every distinct fingerprint of own; equal roots are linked."""
     distinct = own.select("fp").distinct()
@@ -185,19 +133,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return own.join(classes, own.fp == classes.class_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, radius: int = WIDE_RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarity: tuple[int, int] = jaccard.SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the first by
-    doc_id (null last), then fingerprint and text hash; of equal rows one.
+    doc_id (null last), then shingle set and text hash; of equal rows one.
 
-    Fingerprints have 256 bits here: 64 bits at 2 miss nearly all copies that share 0.8
-    of their five-word shingles. Such copies are, in 3-word shingles, about 30 of 256
-    bits apart, unrelated texts 128.
+    Documents link where their five-word shingles have a Jaccard similarity of 0.8 or
+    more. That is decided on the shingles themselves: neither 64 nor 256 bits of a
+    fingerprint tell such copies, least those that differ by one block.
 
     Groups are decided on ids and hashes. Those that go meet the texts again by
     doc_id and text hash, broadcast while they are few. Rows that repeat the one
     which stays can't be told apart so; where there are any, only they are grouped."""
-    own = checkpointed(wide_fingerprints(docs, shingle))
-    roots = wide_roots(checkpointed(own.groupBy("fp").agg(F.first("lanes").alias("lanes"))), radius)
+    own = checkpointed(jaccard.prefixes(docs, shingle, similarity))
+    roots = jaccard.roots(own, docs, similarity, shingle)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")
     counts = own.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
     counts = checkpointed(counts.join(roots, counts.fp == roots.class_fp).select(rank.alias("rank"), "root", "n"))

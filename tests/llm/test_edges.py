@@ -434,3 +434,26 @@ def test_order_of_rows_and_partitions_changes_nothing(spark, small):
     one = sorted(map(tuple, html_diff.extract_text(pages.coalesce(1)).collect()))
     assert one == sorted(map(tuple, html_diff.extract_text(pages.repartition(7)).collect()))
     assert re.search("[a-z]", one[0][2])
+
+
+def shingle_similarity(x, y):
+    a, b = (set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_block_edits_link_exactly_at_the_similarity(spark):
+    """Copies with a tail or a replaced block: all at 0.8 or above are found, none below."""
+    import random
+
+    rng = random.Random(12)
+    rows, truth = [], {}
+    for k in range(80):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((120, 400, 900)))]
+        part = int(len(words) * rng.choice((0.04, 0.09, 0.1, 0.11, 0.2, 0.24, 0.26)))
+        new = [f"x{rng.randrange(4000)}" for _ in range(part)]
+        other = words + new if k % 2 else new + words[part:]
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
+        truth[2 * k + 1] = shingle_similarity(rows[-2][1], rows[-1][1]) >= 0.8
+    assert 20 < sum(truth.values()) < 70
+    left = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
+    assert left == {i for i, _, _ in rows if not truth.get(i)}
