@@ -139,8 +139,9 @@ def _named(fps: DataFrame, stars: DataFrame) -> DataFrame:
 def roots(own: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """class_fp, root for every fp of own (see prefixes); equal roots are linked by pairs at the similarity.
 
-    Sets meet in the buckets of their prefix shingles. In a bucket, each is tied to
-    the first and to the one before it, and ties are verified."""
+    Sets meet in the buckets of their prefix shingles. In a bucket, each is first tied to
+    the first and to the one before it. Verified ties join most of a group of copies up.
+    Then all pairs of a bucket that are still apart are verified, so each link is decided."""
     texts = own.groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
     each = own.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("at", "key"))
     every, w = Window.partitionBy("key"), Window.partitionBy("key").orderBy("fp")
@@ -149,4 +150,20 @@ def roots(own: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILAR
     ties = met.where("before is not null").select(F.col("fp").alias("b"), "n", "at", F.explode(F.array_distinct(F.array("first", "before"))).alias("t"))
     ties = ties.where(_can(F.col("n"), F.col("at"), F.col("t.n"), F.col("t.at"), similarity))
     pairs = checkpointed(ties.select(F.col("t.fp").alias("a"), "b").distinct())
-    return _named(texts, connected_components(verified(pairs, docs, texts, similarity, size)))
+    named = _named(texts, connected_components(verified(pairs, docs, texts, similarity, size)))
+
+    # a bucket of two has no pair but its tie
+    members = met.where("many > 2").select("key", "fp", "n", "at").join(named, F.col("fp") == F.col("class_fp")).drop("class_fp")
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    members = checkpointed(members.join(apart, "key", "left_semi"))
+    x, y = members.alias("x"), members.alias("y")
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _can(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), similarity))
+    rest = both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = verified(checkpointed(rest), docs, texts, similarity, size)
+    for c in "ab":
+        more = more.join(named.select(F.col("class_fp").alias(c), F.col("root").alias(f"{c}_root")), c)
+    more = checkpointed(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    if bounded(more, 0):
+        return named
+    again = connected_components(more).select("node", F.col("root").alias("top"))
+    return checkpointed(named.join(again, named.root == again.node, "left").select("class_fp", F.coalesce("top", "root").alias("root")))

@@ -457,3 +457,21 @@ def test_block_edits_link_exactly_at_the_similarity(spark):
     assert 20 < sum(truth.values()) < 70
     left = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
     assert left == {i for i, _, _ in rows if not truth.get(i)}
+
+
+def test_links_inside_crowded_buckets(spark):
+    """Texts of one passage with a block of their own: only blocks at nearby places make links."""
+    import random
+
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(1000)]
+    rows = []
+    for k, at in enumerate(rng.sample([*range(0, 300, 14), *range(420, 560, 14), *range(700, 900, 14)], 40)):
+        rows.append((k, " ".join(base[:at] + [f"x{k}.{i}" for i in range(80)] + base[at + 80 :]), "s"))
+    parent = list(range(len(rows)))
+    for a, b in ((a, b) for a in range(len(rows)) for b in range(a)):
+        if shingle_similarity(rows[a][1], rows[b][1]) >= 0.8:
+            x, y = parent[a], parent[b]
+            parent = [min(x, y) if p in (x, y) else p for p in parent]
+    assert 3 <= len(set(parent)) <= 20
+    assert {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()} == set(parent)
