@@ -39,7 +39,8 @@ def windows(table: DataFrame, keep: list[str], n: int) -> DataFrame:
     """keep and, for each window of n words: h (hash of its template), at (its place),
     slots (its slot words), and of the text: n_windows.
 
-    The template of a slot word is its type alone. A text's words are hashed in the
+    The template of a slot word is its type alone. A window of slots alone says nothing
+    as a template; there h is of the words with their values. A text's words are hashed in the
     place where they are split, so what is exploded is a hash, a place and, only
     where a window has some, slot words."""
     words = table.select(*keep, slot_words(F.col("text")).alias("_w"))
@@ -48,9 +49,8 @@ def windows(table: DataFrame, keep: list[str], n: int) -> DataFrame:
     words = words.withColumn("_t", F.when(F.col("_has"), typed).otherwise(F.col("_w")))
     none = F.array().cast("array<string>")
     slots = lambda i: F.filter(F.slice("_w", i + 1, n), lambda w: w.startswith("0num") | w.startswith("0name") | w.startswith("0unit"))
-    each = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(F.xxhash64(F.slice("_t", i + 1, n)).alias("h"), i.alias("at"), F.when(F.col("_has"), slots(i)).otherwise(none).alias("slots")))
-    # a window of slots alone says nothing
-    return words.select(*keep, (F.size("_t") - n + 1).alias("n_windows"), F.explode(each).alias("_x")).select(*keep, "n_windows", "_x.*").where(F.size("slots") < n)
+    each = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(F.when(F.col("_has") & F.get("_t", i).isin("0num", "0name", "0unit") & (F.size(slots(i)) == n), F.xxhash64(F.slice("_w", i + 1, n))).otherwise(F.xxhash64(F.slice("_t", i + 1, n))).alias("h"), i.alias("at"), F.when(F.col("_has"), slots(i)).otherwise(none).alias("slots")))
+    return words.select(*keep, (F.size("_t") - n + 1).alias("n_windows"), F.explode(each).alias("_x")).select(*keep, "n_windows", "_x.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:

@@ -475,3 +475,10 @@ def test_links_inside_crowded_buckets(spark):
             parent = [min(x, y) if p in (x, y) else p for p in parent]
     assert 3 <= len(set(parent)) <= 20
     assert {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()} == set(parent)
+
+
+def test_items_of_slots_are_found_verbatim(spark):
+    items = [(1, "Which River Flows Through The City Of Paris In Northern France"), (2, "What is next in the sequence 2 3 5 7 11 13 17 19 23 29 31 37 41 43")]
+    docs = table(spark, [(1, f"Some lines before.\n{items[0][1]} and after.", "s"), (2, f"Lead. {items[1][1]} and more", "s"), (3, "Which Mountain Stands Behind The Town Of Bern In Southern Germany", "s"), (4, "The numbers 4 6 8 9 10 12 14 15 16 18 20 21 22 24 are others", "s")])
+    got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2)}
