@@ -77,17 +77,13 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     return hosts.select("host", rate.alias("host_rate"), (rate > MAX_HOST_RATE).alias("host_failed"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Rows of features() with base_failed, doc_failed, host_failed and kept.
+def _with_hosts(rows: DataFrame) -> DataFrame:
+    """rows with host_failed and kept.
 
     Failures are counted by host (combined map-side, so a hot host costs a row for
     each task), and host verdicts come back by a broadcast join while hosts are few,
     by a shuffle join with skew handling beyond. A document is kept if neither it
     nor its host failed."""
-    return _with_hosts(rules(features(docs)))
-
-
-def _with_hosts(rows: DataFrame) -> DataFrame:
     hosts = host_verdicts(rows.select("source", "doc_failed"))
     if bounded(hosts, BROADCAST_HOSTS):
         hosts = F.broadcast(hosts)
@@ -109,6 +105,12 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    Rows that pass are generated rather than filtered: a filter would be pushed down
-    through the steps of features(), each step repeated for every use of its result."""
-    return judged(docs).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
+    A text is judged once: what its own rules keep is checkpointed whole, of other rows
+    only the source, and the hosts' verdicts then meet what is left.
+
+    Null and empty texts go; null sources are one host; repeated rows stay or go
+    together; very long texts are judged whole; an empty table gives no rows; columns of
+    any name are kept."""
+    rows = rules(features(docs)).select("source", "doc_failed", F.when(~F.col("doc_failed"), F.col("_row")).alias("_row"))
+    rows = _with_hosts(checkpointed(rows)).where(F.col("kept")).select("_row")
+    return rows.select("_row.*")
