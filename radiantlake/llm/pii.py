@@ -69,29 +69,29 @@ SPELLED = {
 } | {"oh": "0"}
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _BETWEEN = r"[ \t]*[,;/-]?[ \t\n]*"
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus{_BETWEEN})?(?:{_DIGIT_WORD})(?:{_BETWEEN}(?:(?:dot|point|punto|punkt){_BETWEEN})?(?:{_DIGIT_WORD}))" + r"{3,}(?!\w)", re.I)
-SPELLED_PART = re.compile(rf"plus|dot|point|punto|punkt|{_DIGIT_WORD}", re.I)
-# Words that runs of spelled digits are made of, for a first look at a text's words.
-RUN_WORDS = frozenset([*SPELLED, "dot", "point", "punto", "punkt", "plus"])
+_DIGITS = rf"(?:{_DIGIT_WORD}|[0-9]+)"
+#: Four or more digit words, or numbers among them, in a row.
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus{_BETWEEN})?{_DIGITS}(?:{_BETWEEN}(?:(?:dot|point|punto|punkt){_BETWEEN})?{_DIGITS})" + r"{3,}(?!\w)", re.I)
+SPELLED_PART = re.compile(rf"plus|dot|point|punto|punkt|{_DIGIT_WORD}|[0-9]+", re.I)
+SPELLED_WORD = re.compile(rf"(?:{_DIGIT_WORD}){_BETWEEN}(?:(?:dot|point|punto|punkt){_BETWEEN})?{_DIGITS}", re.I)
+#: Digit words that a run with numbers has at least.
+LEAST_SPELLED = 3
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|\s*(?:&#64;|&#x40;|&commat;|%40)\s*|\s+@\s+|\s+@|@\s+)"
 _AT_WORD = r"\s+(?:at|arroba|arobase)\s+"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*|\s*(?:&#46;|&#x2e;|&period;)\s*|\s+(?:dot|punto|punkt)\s+)"
 AT = re.compile(f"{_AT}|{_AT_WORD}", re.I)
 AT_WORD = re.compile(_AT_WORD, re.I)
 DOT = re.compile(_DOT, re.I)
-# First looks, at a lower-cased text: each begins with a literal or a few characters, which makes them fast.
-AT_MARKS = ("&#64;", "&#x40;", "&commat;", "%40", "arroba", "arobase")
-DOT_MARKS = ("&#46;", "&#x2e;", "&period;", "punto", "punkt", "dot")
-BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|dot|punto|point|punkt|\.)\s*[\])}>]")
-SPACED_AT = re.compile(r"@\s|\s@")
-BARE_AT = re.compile(r" at\s+[a-z0-9-]+\.[a-z]")
-DOT_WORD = re.compile(r"\b(?:dot|punto|punkt)\b")
+DOT_WORDS = frozenset(("dot", "punto", "punkt"))
+#: A first look at a text: whatever AT and NUMBER_DOT need, in forms that are quick to look for.
+SIGN = re.compile(r"&#64;|&#x40;|&commat;|%40|&#46;|&#x2e;|&period;|arroba|arobase|[\[({<]\s*(?:at|@|dot|punto|point|punkt|\.)\s*[\])}>]|@\s|\s@|\s(?:dot|punto|punkt)\s|\sat\s+[A-Za-z0-9-]+\.", re.I)
 BEFORE_AT = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*\Z", re.I)
 AFTER_AT = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
 PLAIN_ADDRESS = re.compile(r"(?<![\w.])[A-Za-z0-9_%+-]*[0-9._%+-][A-Za-z0-9_.%+-]*\Z")
-ENDINGS = frozenset("com org net edu gov info biz io co me dev app ai uk us eu de fr es it nl ch at be ca au in br mx ar example test".split())
-#: A disguised address is looked for so many characters back from its at sign.
+#: Last labels of addresses that only words disguise ("anna at firm dot com"); marked ones may end in any.
+ENDINGS = frozenset("com org net edu gov info biz io co me dev app ai uk us eu de fr es it nl ch at be ca au in br mx ar pl ru cn jp kr se no dk fi cz pt gr ie nz za tr int mil xyz online cloud example test".split())
+#: Characters back from an at sign that are looked at first; doubled while the address goes on.
 REACH = 128
 
 
@@ -156,36 +156,62 @@ def unglyph(tape: Tape) -> None:
         tape.rewrite(edits)
 
 
+def _before(text: str, at: int) -> tuple[int, int] | None:
+    """Where the local part that ends at at begins and ends."""
+    reach = REACH
+    while True:
+        base = max(0, at - reach)
+        m = BEFORE_AT.search(text, base, at)
+        if not m or m.start() > base or not base:
+            return m and m.span()
+        reach *= 2
+
+
 def unspell_signs(tape: Tape) -> None:
-    """at and dot disguises to signs, where a local part, an at and a domain come together."""
+    """at and dot disguises to signs, where a local part, an at and a domain come together.
+
+    A domain's last label has two letters or more. Where nothing but plain words make
+    the disguise it is one of ENDINGS; after a spaced at sign it is not capitalised."""
     text, edits = tape.text, [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(tape.text)]
     for m in AT.finditer(text):
-        left = BEFORE_AT.search(text[max(0, m.start() - REACH) : m.start()])
+        left = _before(text, m.start())
         right = AFTER_AT.match(text, m.end())
         if not left or not right:
             continue
+        dots = list(DOT.finditer(text, right.start(), right.end()))
         labels = DOT.sub(".", right[0]).split(".")
-        while len(labels) > 1 and labels[-1].lower() not in ENDINGS:
+        words = bool(AT_WORD.fullmatch(m[0]))
+        marked = not words and m[0].strip() != "@" or any(d[0].strip(" \t\n\r\f\v").lower() not in DOT_WORDS for d in dots)
+        spaced = not words and m[0].strip() == "@"
+
+        def ends(label: str, marked: bool = marked, spaced: bool = spaced) -> bool:
+            letters = len(label) >= 2 and label.isascii() and label.isalpha()
+            return letters and (marked or label.lower() in ENDINGS or spaced and (label.islower() or label.isupper()))
+
+        while len(labels) > 1 and not ends(labels[-1]):
             labels.pop()
         if len(labels) < 2:
             continue
-        dots = list(DOT.finditer(text, right.start(), right.end()))[: len(labels) - 1]
-        if AT_WORD.fullmatch(m[0]) and not dots and not PLAIN_ADDRESS.search(left[0]):
+        dots = dots[: len(labels) - 1]
+        if words and not dots and not PLAIN_ADDRESS.search(text, left[0], left[1]):
             continue  # "meet at example.com" is no address
-        base = max(0, m.start() - REACH)
         edits += [(m.start(), m.end(), "@")] + [(d.start(), d.end(), ".") for d in dots]
-        edits += [(base + left.start() + d.start(), base + left.start() + d.end(), ".") for d in DOT.finditer(left[0])]
+        edits += [(d.start(), d.end(), ".") for d in DOT.finditer(text, *left)]
     if edits:
         tape.rewrite(edits)
 
 
 def unspell_digits(tape: Tape) -> list[tuple[int, int]]:
-    """Runs of spelled digits to digits. Returns where runs of 10 to 15 stand that no plus begins."""
+    """Runs of spelled digits, and numbers among them, to digits. Returns where runs of 10 to 15 digits, most of them spelled, stand that no plus begins."""
     edits, bare = [], []
     for m in SPELLED_RUN.finditer(tape.text):
         parts = list(SPELLED_PART.finditer(tape.text, m.start(), m.end()))
-        signs = ["+" if p[0].lower() == "plus" else SPELLED.get(p[0].lower(), ".") for p in parts]
-        if 10 <= len(signs) <= 15 and all(s.isdigit() for s in signs) and not re.search(r"[+0-9][ -]?\Z", tape.text[max(0, m.start() - 2) : m.start()]):
+        signs = ["+" if p[0].lower() == "plus" else p[0] if p[0][0] in "0123456789" else SPELLED.get(p[0].lower(), ".") for p in parts]
+        spelled = sum(p[0].lower() in SPELLED for p in parts)
+        if spelled < min(LEAST_SPELLED, len(signs)):
+            continue
+        digits = "".join(signs)
+        if 10 <= len(digits) <= 15 and 2 * spelled >= len(digits) and digits.isdigit() and not re.search(r"[+0-9][ -]?\Z", tape.text[max(0, m.start() - 2) : m.start()]):
             bare.append((int(tape.starts[m.start()]), int(tape.ends[m.end() - 1])))
         for p, sign, after in zip(parts, signs, [*parts[1:], None], strict=True):
             edits.append((p.start(), p.end() if after is None else after.start(), sign))
@@ -194,31 +220,21 @@ def unspell_digits(tape: Tape) -> list[tuple[int, int]]:
     return bare
 
 
-def _signs(low: str) -> bool:
-    """Whether a lower-cased text may disguise an at sign or a dot."""
-    if any(x in low for x in AT_MARKS) or "@" in low and SPACED_AT.search(low) or BRACKETED.search(low) or BARE_AT.search(low):
-        return True
-    return any(x in low for x in DOT_MARKS[:3]) or any(x in low for x in DOT_MARKS[3:]) and bool(DOT_WORD.search(low))
-
-
-def _spelled(low: str) -> bool:
-    """Whether a lower-cased text has four digit words (or signs between them) in a row."""
-    words = low.replace(",", " ").replace(";", " ").replace("/", " ").replace("-", " ").split()
-    return b"\1\1\1\1" in bytes(map(RUN_WORDS.__contains__, words))
-
+def disguised(text: str, look: bool = True) -> list[tuple[int, int, str, int]]:
+    """Spans, in text, of identifiers that show only when its disguises are undone.
 
-def disguised(text: str) -> list[tuple[int, int, str, int]]:
-    """Spans, in text, of identifiers that show only when its disguises are undone."""
-    odd = bool(GLYPH.search(text)) or bool(DIGIT.search(text) and GLYPH_NEAR.search(text))
-    signs, digits = _signs(low := text.lower()), _spelled(low)
+    With look, transducers that a first look shows to have nothing to do are left out;
+    that changes no result."""
+    odd = not look or bool(GLYPH.search(text)) or bool(GLYPH_NEAR.search(text))
+    signs, digits = not look or bool(SIGN.search(text)), not look or bool(SPELLED_WORD.search(text))
     if not (odd or signs or digits):
         return []
     tape, bare = Tape(text), []
     if odd:
         unglyph(tape)
-    if signs or odd and _signs(tape.text.lower()):
+    if signs or odd and SIGN.search(tape.text):
         unspell_signs(tape)
-    if digits or odd and _spelled(tape.text.lower()):
+    if digits or (odd or signs) and SPELLED_WORD.search(tape.text):
         bare = unspell_digits(tape)
     found = [(s, 3, "phone", e) for s, e in bare]
     if tape.edited.any():
