@@ -6,42 +6,39 @@ columns they came with."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from radiantlake.llm.common import checkpointed, read_table
+from radiantlake.llm.common import drop_folder, fresh_folder, read_table
 from radiantlake.llm.decontam import drop_contaminated
+from radiantlake.llm.dedup import keep_first
 from radiantlake.llm.packing import pack
 from radiantlake.llm.quality import keep_good
 from radiantlake.llm.queries import tokenizer_file
 from radiantlake.llm.secrets import redact
-from radiantlake.llm.simhash import keep_first
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; among them null and empty texts. Hard cases: see keep_good."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
+    """One document of each group of near-duplicates stays: the one of the smallest doc_id (null last). Hard cases: see keep_first."""
     return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Hard cases: see drop_contaminated and contaminated."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blotted out; every document stays."""
+    """Secrets are blotted out; every document stays. Hard cases: see redact."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences."""
+    """Pieces of documents, packed into sequences. Hard cases: see pack."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -59,13 +56,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, written between stages to the shared
-    folder that the session names."""
+    folder that the session names. A stage's folder goes when the next one's is whole."""
     docs = read_table(spark, sf_dir, "documents")
-    checkpointed(spark.range(1))  # sees that there is a shared folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(path := os.path.join(folder, name))
+            docs.write.parquet(path := f"{folder}/{name}")
             docs = spark.read.parquet(path)
+            if k:
+                drop_folder(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs

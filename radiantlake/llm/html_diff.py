@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpointed, small_batches
+from .common import bounded, checkpointed, steps
 from .urls import url_host_path
 
 #: A tag whose attributes are written as they should be; it never looks beyond the next < or >.
@@ -333,7 +333,7 @@ def deleted_lines(row: Line, before: Line | None, after: Line | None, inside: bo
 
 def _outlines(batches):
     """The narrow form of pages with text: no text, only line hashes and sizes."""
-    for batch in batches:
+    for batch in (x for whole in batches for x in steps(whole)):
         ids, urls, hosts, paths, pages = (c.to_pylist() for c in batch.columns)
         rows = []
         for page_id, url, host, path, html in zip(ids, urls, hosts, paths, pages, strict=True):
@@ -408,7 +408,7 @@ def common_on_hosts(lines: DataFrame) -> DataFrame:
 
 def _texts(batches):
     """All pages with their blocks."""
-    for batch in batches:
+    for batch in (x for whole in batches for x in steps(whole)):
         ids, urls, pages = (c.to_pylist() for c in batch.columns)
         blocks = [parse(html)[0] for html in pages]
         keys = [_key(*x) for x in zip(ids, urls, blocks, strict=True)]
@@ -435,7 +435,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     whole, in linear time; an empty table gives no rows; other columns are ignored.
     Pages are parsed twice rather than kept: texts are shuffled only where more than
     BROADCAST_MARKS pages lose lines."""
-    small_batches(pages.sparkSession)
     host, path = url_host_path()
     lines = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(_outlines, "key bigint, page_id bigint, host string, path string, hashes array<bigint>, sizes array<int>, inside boolean, site bigint")
     lines = checkpointed(lines.dropDuplicates(["page_id", "key"]))

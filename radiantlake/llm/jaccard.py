@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bounded, checkpointed, map_columns
 from .components import connected_components
 
@@ -78,8 +79,22 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     return np.sort(np.array([r.x for r in rows], dtype=np.int64))
 
 
+def parities(own: np.ndarray, width: int) -> np.ndarray:
+    """For each of width places, whether an odd number of the shingles falls there, as longs.
+
+    Two sets' places differ in no more than the shingles that one of them has alone."""
+    odd = np.bincount((_mixed(own.view(np.uint64)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def parity_width(n: int) -> int:
+    """Places for n shingles: 128 to 512, at least n where that allows; sets that may link differ by one step at most."""
+    return min(512, max(128, 1 << (n - 1).bit_length()))
+
+
 def prefixes(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash, fp, n (shingles) and prefix for every row of docs.
+    """doc_id, text_hash, fp, n (shingles), sim (the shingles' SimHash), odd and odd_half
+    (parities at the set's width and at half of it) and prefix for every row of docs.
 
     All sets are ordered alike, common shingles last. Sets at the similarity or above
     share one of their first n - ceil(similarity * n) + 1 shingles, the prefix."""
@@ -90,21 +105,23 @@ def prefixes(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] =
         late = common.value
 
         def step(cols):
-            fps, ns, first = [], [], []
+            out = {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"]} | {k: [] for k in ("fp", "n", "sim", "odd", "odd_half", "prefix")}
             for text in cols["text"]:
                 own = shingles(text, size)
                 n = len(own)
-                fps.append(_set_hash(own))
-                ns.append(n)
+                width = parity_width(n)
+                sim = simhash.majority(sum(simhash.bit_counts(own[at : at + simhash.CHUNK].view(np.uint64)) for at in range(0, n, simhash.CHUNK)), n)
+                first = own
                 if len(late):
                     at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-                    own = own[np.argsort(late[at] == own, kind="stable")]
-                first.append(own[: n - -(-p * n // q) + 1])
-            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": fps, "n": ns, "prefix": first}
+                    first = own[np.argsort(late[at] == own, kind="stable")]
+                for name, v in (("fp", _set_hash(own)), ("n", n), ("sim", simhash.signed(sim)), ("odd", parities(own, width)), ("odd_half", parities(own, width // 2)), ("prefix", first[: n - -(-p * n // q) + 1])):
+                    out[name].append(v)
+            return out
 
         return step
 
-    return map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), factory, "doc_id bigint, text_hash bigint, fp bigint, n int, prefix array<bigint>")
+    return map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), factory, "doc_id bigint, text_hash bigint, fp bigint, n int, sim bigint, odd array<bigint>, odd_half array<bigint>, prefix array<bigint>")
 
 
 def _can(a_n, a_at, b_n, b_at, similarity: tuple[int, int]):
@@ -115,55 +132,106 @@ def _can(a_n, a_at, b_n, b_at, similarity: tuple[int, int]):
     return F.least(a_n - a_at, b_n - b_at).cast("bigint") * (p + q) >= (a_n + b_n).cast("bigint") * p
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """The pairs a, b whose whole sets are at the similarity or above.
+def _may(a: str, b: str, similarity: tuple[int, int]):
+    """Whether the parities of sets a and b allow the similarity: what one of two linked sets has alone is bounded by their sizes."""
+    p, q = similarity
+
+    def apart(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, k: s + k)
+
+    wide, other = F.size(f"{a}.odd"), F.size(f"{b}.odd")
+    least = F.when(wide == other, apart(f"{a}.odd", f"{b}.odd")).when(wide < other, apart(f"{a}.odd", f"{b}.odd_half")).otherwise(apart(f"{a}.odd_half", f"{b}.odd"))
+    return least.cast("bigint") * (p + q) <= (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("bigint") * (q - p)
 
-    texts names one text_hash of each fp. Only the shingles of texts in pairs are made, anew."""
+
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, parts: int, similarity: tuple[int, int] = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """The pairs a, b whose whole sets are at the similarity or above; repeated rows of docs may repeat them.
+
+    texts has, of each fp, n, the parities, and hash and id of one row. Parities turn
+    most other pairs away; of what is left the shingles are made anew, from those rows."""
     p, q = similarity
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(texts, "fp").select(F.col("text_hash").alias("_hash")).distinct()
-    ends = checkpointed(ends)
+    x, y = texts.alias("x"), texts.alias("y")
+    some = pairs.join(x, F.col("a") == F.col("x.fp")).join(y, F.col("b") == F.col("y.fp")).where((F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p) & _may("x", "y", similarity))
+    some = checkpointed(some.select("a", "b", F.col("x.row").alias("a_row"), F.col("y.row").alias("b_row")).coalesce(parts))
+    ends = checkpointed(some.select(F.col("a_row").alias("_row")).union(some.select("b_row")).distinct().select(F.col("_row.text_hash").alias("_hash"), F.col("_row.doc_id").alias("_id")))
     if bounded(ends, BROADCAST_TEXTS):
         ends = F.broadcast(ends)
-    some = docs.select("text", F.xxhash64("text").alias("_own")).join(ends, F.col("_own") == F.col("_hash"), "left_semi")
-    made = checkpointed(sets(some, size).dropDuplicates(["fp"]))
+    whole = docs.select("text", "doc_id", F.xxhash64("text").alias("_own")).join(ends, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    made = checkpointed(sets(whole, size))
     left, right = (made.select(F.col("fp").alias(c), F.col("own").alias(f"{c}_own")) for c in "ab")
     shared = F.size(F.array_intersect("a_own", "b_own"))
-    return pairs.join(left, "a").join(right, "b").where(shared * (p + q) >= (F.size("a_own") + F.size("b_own")) * p).select("a", "b")
+    return some.select("a", "b").join(left, "a").join(right, "b").where(shared * (p + q) >= (F.size("a_own") + F.size("b_own")) * p).select("a", "b")
+
+
+def _joined(named: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """class_fp, root, many (the members of the root): named, with the roots of linked pairs a, b made one."""
+    for c in "ab":
+        pairs = pairs.join(named.select(F.col("class_fp").alias(c), F.col("root").alias(f"{c}_root")), c)
+    tops = connected_components(pairs.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).select("node", F.col("root").alias("top"))
+    again = checkpointed(named.select("class_fp", "root").join(tops, F.col("root") == F.col("node"), "left").select("class_fp", F.coalesce("top", "root").alias("root")).coalesce(parts))
+    sizes = checkpointed(again.groupBy("root").agg(F.count("*").alias("many")).coalesce(parts))
+    return checkpointed(again.join(sizes, "root").select("class_fp", "root", "many").coalesce(parts))
+
+
+def _close(texts: DataFrame) -> DataFrame:
+    """a, b: each set beside the first of its fingerprint, and the first ones of fingerprints that link."""
+    firsts = checkpointed(texts.groupBy(F.col("sim").alias("of")).agg(F.min("fp").alias("a")))
+    same = texts.join(firsts, F.col("sim") == F.col("of")).select("a", F.col("fp").alias("b")).where("a <> b")
+    near = simhash.links(firsts.select(F.col("of").alias("fp")))
+    for c in "ab":
+        near = near.join(firsts.select(F.col("of").alias(c), F.col("a").alias(f"{c}_first")), c)
+    return same.union(near.select("a_first", "b_first"))
 
 
-def _named(fps: DataFrame, stars: DataFrame) -> DataFrame:
-    """class_fp, root of every fp."""
-    return checkpointed(fps.join(stars, fps.fp == stars.node, "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("root")))
+#: Rounds in which sets are compared with one of the largest group in their bucket, before all that are apart are.
+ROUNDS = 1
+#: Sets in a partition at least, where only ids and sizes of sets are held.
+PART_SETS = 50_000
 
 
 def roots(own: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """class_fp, root for every fp of own (see prefixes); equal roots are linked by pairs at the similarity.
 
-    Sets meet in the buckets of their prefix shingles. In a bucket, each is first tied to
-    the first and to the one before it. Verified ties join most of a group of copies up.
-    Then all pairs of a bucket that are still apart are verified, so each link is decided."""
-    texts = own.groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+    Verified first are the pairs that multi-index hashing of fingerprints finds, and
+    each set beside the first one, in an order of all, of every bucket of its prefix
+    shingles. Then, for some rounds, each is verified against one member of the largest
+    group in its bucket. That joins most of a family of copies at no more than a row for
+    each member and bucket. At last all pairs of a bucket that are still apart, and that
+    sizes, places and parities allow, are verified, so each link is decided."""
+    texts = own.groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("row"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("odd").alias("odd"), F.first("odd_half").alias("odd_half"))
+    texts = checkpointed(texts)
+    parts = 1 + texts.count() // PART_SETS
+    texts = texts.coalesce(parts)
+    key = Window.partitionBy("key")
+
+    def tied(rows: DataFrame) -> DataFrame:
+        """a, b: each row's set beside the one that leads its bucket."""
+        rows = rows.where((F.col("fp") != F.col("lead.fp")) & _can(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), similarity))
+        return rows.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b"))
+
     each = own.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("at", "key"))
-    every, w = Window.partitionBy("key"), Window.partitionBy("key").orderBy("fp")
-    row = F.struct("fp", "n", "at")
-    met = checkpointed(each.withColumn("many", F.count("*").over(every)).withColumn("first", F.first(row).over(w)).withColumn("before", F.lag(row).over(w)).where("many > 1"))
-    ties = met.where("before is not null").select(F.col("fp").alias("b"), "n", "at", F.explode(F.array_distinct(F.array("first", "before"))).alias("t"))
-    ties = ties.where(_can(F.col("n"), F.col("at"), F.col("t.n"), F.col("t.at"), similarity))
-    pairs = checkpointed(ties.select(F.col("t.fp").alias("a"), "b").distinct())
-    named = _named(texts, connected_components(verified(pairs, docs, texts, similarity, size)))
-
-    # a bucket of two has no pair but its tie
-    members = met.where("many > 2").select("key", "fp", "n", "at").join(named, F.col("fp") == F.col("class_fp")).drop("class_fp")
-    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = checkpointed(members.join(apart, "key", "left_semi"))
+    lead = F.min(F.struct(F.xxhash64("fp").alias("by"), "fp", "n", "at")).over(key)
+    members = checkpointed(each.withColumn("met", F.count("*").over(key)).withColumn("lead", lead).where("met > 1"))
+    pairs = checkpointed(tied(members).union(_close(texts)).distinct().coalesce(parts))
+    named = texts.select(F.col("fp").alias("class_fp"), F.col("fp").alias("root"))
+    named = _joined(named, verified(pairs, docs, texts, parts, similarity, size), parts)
+
+    # a bucket of two has no pair but that one
+    members = members.where("met > 2").select("key", "fp", "n", "at")
+
+    def apart() -> DataFrame:
+        """Members of buckets that hold more than one root, with root and group size."""
+        rows = members.join(named, F.col("fp") == F.col("class_fp")).drop("class_fp")
+        rows = rows.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key))
+        return rows.where("low <> high").drop("low", "high")
+
+    for k in range(ROUNDS):
+        lead = F.max(F.struct("many", F.xxhash64("root").alias("by"), F.xxhash64("fp", F.lit(k)).alias("of"), "fp", "n", "at", "root")).over(key)
+        ties = checkpointed(tied(apart().withColumn("lead", lead).where(F.col("root") != F.col("lead.root"))).distinct().coalesce(parts))
+        named = _joined(named, verified(ties, docs, texts, parts, similarity, size), parts)
+
+    members = checkpointed(apart().drop("many")).join(texts.select("fp", "odd", "odd_half"), "fp")
     x, y = members.alias("x"), members.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _can(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), similarity))
-    rest = both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(checkpointed(rest), docs, texts, similarity, size)
-    for c in "ab":
-        more = more.join(named.select(F.col("class_fp").alias(c), F.col("root").alias(f"{c}_root")), c)
-    more = checkpointed(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
-    if bounded(more, 0):
-        return named
-    again = connected_components(more).select("node", F.col("root").alias("top"))
-    return checkpointed(named.join(again, named.root == again.node, "left").select("class_fp", F.coalesce("top", "root").alias("root")))
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _can(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), similarity) & _may("x", "y", similarity))
+    rest = checkpointed(both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().coalesce(parts))
+    return _joined(named, verified(rest, docs, texts, parts, similarity, size), parts).select("class_fp", "root")

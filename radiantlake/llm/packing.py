@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -77,86 +78,140 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, max
     return map_columns(docs.select("doc_id", "text"), factory, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def completion(counts: np.ndarray, room: int, nodes: int = 20_000) -> list[int]:
-    """Lengths (descending, at most counts of each) that fill room best.
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that no packing can do without.
 
-    The incumbent is the best-fit filling: again and again the longest piece that
-    fits. Branch and bound then goes through fillings from long pieces to short
-    ones; a filling of fewer, longer pieces dominates those that replace one of its
-    pieces by shorter ones of no greater sum, so it is met first and only a smaller
-    waste replaces it. A branch ends when what is left of its room, were it filled
-    whole, can't beat the incumbent, or when nothing is wasted. nodes bounds the
-    search; what is found by then stands, and no piece is ever left out."""
-    present = np.flatnonzero(counts[: room + 1])[::-1]
-    present = [int(x) for x in present if x > 0]
+    For each t, pieces over capacity - t share a sequence with none of t or more, and
+    those over half of capacity with none of their kind; what the rest (t or more) is
+    beyond the room beside these needs sequences of its own."""
+    if not counts[1:].any():
+        return 0
+    lengths = np.arange(capacity + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * lengths)
+    t = np.arange(capacity // 2 + 1)
+    half, top = capacity // 2, capacity - t
+    alone, paired = n[-1] - n[top], n[top] - n[half]
+    rest = total[half] - np.where(t > 0, total[t - 1], 0)
+    room = paired * capacity - (total[top] - total[half])
+    return int((alone + paired + np.maximum(0, -((room - rest) // capacity))).max())
+
+
+def _dominated(filling: list[int], waste: int, counts: np.ndarray) -> bool:
+    """Whether a longer piece that is left could take the place of one of a filling, or be added to it."""
+    used: dict[int, int] = {}
+    for l in filling:
+        used[l] = used.get(l, 0) + 1
+    free = lambda x: counts[x] > used.get(x, 0)
+    return any(free(x) for low in (0, *used) for x in (np.flatnonzero(counts[low + 1 : low + waste + 1]) + low + 1).tolist())
+
+
+def completions(counts: np.ndarray, room: int, most: int = 1, nodes: int = 20_000) -> tuple[list[list[int]], int]:
+    """Up to most undominated fillings of room by lengths (at most counts of each), the
+    least waste first, and the nodes that finding them took.
+
+    The first incumbent is the best-fit filling: again and again the longest piece that
+    fits. Branch and bound then goes through fillings from long pieces to short ones, on
+    a stack of its own. A branch ends when what is left of its room, were all shorter
+    pieces put in, can't beat the worst incumbent; the search, when none wastes
+    anything. nodes bounds the search; what is found by then stands."""
+    present = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x > 0]
     if not present:
-        return []
-    left = {l: int(counts[l]) for l in present}
-    best: list[int] = []
-    r = room
-    for l in present:  # best fit
-        k = min(left[l], r // l)
-        best += [l] * k
+        return [[]], 0
+    left = [int(counts[l]) for l in present]
+    below = np.cumsum([l * n for l, n in zip(reversed(present), reversed(left), strict=True)])[::-1].tolist()
+    ascending = [-l for l in present]
+    first, r = [], room
+    for l, n in zip(present, left, strict=True):
+        k = min(n, r // l)
+        first += [l] * k
         r -= l * k
-    best_waste = r
-    if not best_waste:
-        return best
-    shortest = present[-1]
+    found = [(r, first)]
+    stack: list = [(0, room, None)]
     spent = 0
-    own: list[int] = []
-    below = np.cumsum([l * left[l] for l in reversed(present)])[::-1]  # what present[i:] could fill
-
-    def search(i: int, r: int) -> None:
-        nonlocal best, best_waste, spent
-        if r < best_waste:
-            best, best_waste = own.copy(), r
-        while i < len(present) and best_waste and spent < nodes:
-            l = present[i]
-            if r < shortest or r - int(below[i]) >= best_waste:
-                return
-            if l > r:
-                i += 1
-                continue
-            spent += 1
-            k = min(left[l], r // l)
-            for n in range(k, 0, -1):
-                own.extend([l] * n)
-                search(i + 1, r - l * n)
-                del own[-n:]
-                if not best_waste or spent >= nodes:
-                    return
-            i += 1
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    search(0, room)
-    return best
-
-
-def bin_plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths of a filling, how many sequences are filled so) that use every piece.
-
-    Bins are completed around the longest piece left. A filling is used as often as
-    its lengths last, so the plan has a few thousand entries however many pieces
-    there are: its size depends on capacity, not on the data."""
+    while stack and spent < nodes and (len(found) < most or found[-1][0]):
+        i, r, path = stack.pop()
+        i = max(i, bisect_left(ascending, -r))
+        worst = found[-1][0] if len(found) >= most else room + 1
+        if i == len(present) or not r:
+            filling = []
+            while path:
+                path, l, n = path
+                filling += [l] * n
+            filling.reverse()
+            if r < worst and all(filling != f for _, f in found) and not _dominated(filling, r, counts):
+                found = sorted([*found, (r, filling)], key=lambda x: x[0])[:most]
+            continue
+        if r - below[i] >= worst:
+            continue
+        spent += 1
+        l = present[i]
+        for n in range(min(left[i], r // l) + 1):
+            stack.append((i + 1, r - l * n, (path, l, n) if n else path))
+    return [f for _, f in found], spent
+
+
+def bin_search(histogram: dict[int, int], capacity: int, nodes: int = 400_000, width: int = 3) -> tuple[list[tuple[list[int], int]], int]:
+    """(lengths of a filling, how many sequences are filled so) that use every piece, and a lower bound of the sequences.
+
+    Bins are completed around the longest piece left. A filling is used as often as its
+    lengths last, so a plan has a few thousand entries however many pieces there are:
+    its size depends on capacity, not on the data. The first plan takes the least
+    waste each time and is the incumbent. Where it has as many sequences as the lower
+    bound, that proves it the best, and the search ends. Else the search goes back: at
+    each bin it branches between undominated fillings, and leaves a branch whose
+    sequences so far and lower bound of the rest do not beat the incumbent. nodes bounds
+    the whole search; the incumbent then stands, and the bound says how far it may be
+    from the best."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for l, n in histogram.items():
         counts[l] = n
-    plan = []
-    top = capacity
-    while True:
-        while top and not counts[top]:
-            top -= 1
-        if not top:
-            return plan
+    bound = lower_bound(counts, capacity)
+    best, best_size = None, None
+    spent = 0
+
+    def branches() -> list[list[int]]:
+        nonlocal spent
+        top = int(np.flatnonzero(counts)[-1])
         counts[top] -= 1
-        filling = [top, *completion(counts, capacity - top)]
+        found, cost = completions(counts, capacity - top, 1 if best is None else width)
         counts[top] += 1
+        spent += cost + 1
+        return [[top, *f] for f in found]
+
+    def take(filling: list[int], times: int) -> None:
+        for l in filling:
+            counts[l] -= times
+
+    plan: list[tuple[list[int], int]] = []
+    open_branches: list[list[list[int]]] = []  # fillings still to try, at each bin of the plan and the next
+    size = 0
+    while True:
+        if counts.any() and (best is None or size + lower_bound(counts, capacity) < best_size):
+            open_branches.append(branches()[::-1])
+        else:
+            if not counts.any() and (best is None or size < best_size):
+                best, best_size = plan.copy(), size
+            if best_size == bound or spent >= nodes:
+                return best, bound
+            open_branches.append([])
+        while not open_branches[-1]:
+            open_branches.pop()
+            if not plan:
+                return best, bound
+            filling, times = plan.pop()
+            take(filling, -times)
+            size -= times
+        filling = open_branches[-1].pop()
         kinds, uses = np.unique(filling, return_counts=True)
         times = int((counts[kinds] // uses).min())
-        counts[kinds] -= uses * times
+        take(filling, times)
         plan.append((filling, times))
+        size += times
+
+
+def bin_plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The plan of bin_search alone."""
+    return bin_search(histogram, capacity)[0]
 
 
 def intervals(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -185,7 +240,9 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
     histogram, and each task then places its pieces by rank.
 
     Null text is empty: the end id alone. Null doc_ids and repeated rows are packed
-    like any other row; an empty table gives no rows; other columns are ignored."""
+    like any other row; pieces of equal length are told apart by where they were read; a
+    very long text is cut into pieces of capacity; an empty table gives no rows; other
+    columns are ignored."""
     spark = docs.sparkSession
     found = checkpointed(pieces(docs, tokenizer_file, capacity, end_id).withColumn("tie", F.monotonically_increasing_id()))
     dealt = checkpointed(found.repartitionByRange("length", "tie").drop("tie"))

@@ -75,9 +75,10 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fresh_folder
     from .secrets import findings
 
-    return findings(read_table(spark, sf_dir, "documents"))
+    return findings(read_table(spark, sf_dir, "documents"), path=fresh_folder(spark, "ledger"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

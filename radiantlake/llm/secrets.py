@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, checkpointed
@@ -82,27 +82,55 @@ def extend(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE
     return new if ledger is None else ledger.unionByName(new)
 
 
+def stored_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder; None if nothing has been written there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(path) if there else None
+
+
+def extend_stored(docs: DataFrame, path: str, version: str = RULES_VERSION) -> DataFrame:
+    """The ledger in a folder, with what docs add to it written there first.
+
+    Only blobs that it has not with this rules version are scanned and appended, so
+    the next snapshot, of any documents, finds them; rows of other versions stay. One
+    writer at a time."""
+    spark = docs.sparkSession
+    scan_new(docs, stored_ledger(spark, path), version).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob for every row of docs.
+def findings(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION, path: str | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, n_assign, n_access, n_hex, base_sha256, spans, blob for every row of docs.
+
+    docs may hold one snapshot or all historical versions, a row each; keys name what
+    says where a version was (a document, a path and a revision). The ledger, a table
+    or with path a folder, is extended by docs' unseen blobs and joined back to all
+    rows that hold a blob; so a text is scanned once for each rules version, however
+    many rows and snapshots have it.
 
-    The ledger is extended by docs' unseen blobs and joined back to all paths that
-    hold a blob. Null text is the empty blob; null doc_ids and repeated rows stay; an
-    empty table gives no rows; other columns are ignored. The method finds each
-    blob once and adds no kinds of its own, so all spans are base spans."""
-    book = extend(docs, ledger, version).where(F.col("rules_version") == version).withColumnRenamed("blob", "_blob")
-    paths = docs.select("doc_id", address(docs).alias("blob"))
+    Null text is the empty blob; null keys and repeated rows stay; spans at one place
+    are ordered by kind; a very long text is scanned whole; an empty table gives no
+    rows; other columns are ignored. The method finds each blob once and adds no kinds
+    of its own, so all spans are base spans."""
+    book = extend(docs, ledger, version) if path is None else extend_stored(docs, path, version)
+    book = book.where(F.col("rules_version") == version).withColumnRenamed("blob", "_blob")
+    paths = docs.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), address(docs).alias("blob"))
     text = _joined(F.col("found"))
-    return paths.join(book, paths.blob == book._blob).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text, 256).alias("base_sha256"), text.alias("spans"), "blob")
+    rows = paths.join(book, paths.blob == book._blob)
+    return rows.select(*(F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)), "n_assign", "n_access", "n_hex", F.sha2(text, 256).alias("base_sha256"), text.alias("spans"), "blob")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret replaced by mark and n_chars counted anew; all rows and columns stay.
 
-    Overlapping spans are replaced together. Only blobs with findings meet the texts
+    Overlapping spans are replaced together. Null and empty texts stay as they are, as
+    do repeated rows and columns of any name; a very long text is scanned whole; an empty
+    table gives no rows. Only blobs with findings meet the texts
     again, broadcast while they are few."""
     book = extend(docs).where(F.size("found") > 0).select(F.col("blob").alias("_blob"), "found")
     if bounded(book, BROADCAST_FINDINGS):

@@ -3,66 +3,54 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard
 from .common import bounded, checkpointed, map_columns
 from .components import connected_components
 
 CHUNK = 1 << 16
-#: Documents that go (16 bytes each) that are broadcast at most.
-BROADCAST_KEYS = 200_000
-#: Wide fingerprints: bits of a segment, segments, and bits that linked documents may differ in.
-WIDE_BITS = 28
-WIDE_SEGMENTS = 9
-WIDE_RADIUS = 36
+#: Bits that linked fingerprints differ in at most.
+RADIUS = 2
+#: Bits of a segment, and what marks keys of the second one.
+SEGMENT, SECOND = 32, 1 << 32
+#: Fingerprints in a bucket beyond which it is split by the other segment; buckets (8 bytes each) that are broadcast at most.
+CROWD, BROADCAST_BUCKETS = 32, 500_000
 
 
-# Odd multipliers that give each further lane of a wide fingerprint hashes of its own.
-LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def _majorities(text: str | None, shingle: int, lanes: int) -> list[int]:
-    """For each lane of 64 bits, the bits set in over half the hashes of a whole text's shingles.
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes."""
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of a whole text, unsigned 64 bit.
 
     A-Z are lower-cased, words are runs of anything but the six ASCII white-space
-    characters, shingles count as often as they come. Lane 0 is XXH64 (seed 42) of the
-    shingle, further lanes mix it anew. Fewer words than a shingle: the whole sequence
-    is the one shingle; no words or null: zero."""
+    characters, shingles count as often as they come; a shingle's hash is XXH64 (seed
+    42). Fewer words than a shingle: the whole sequence is the one shingle; no words
+    or null: zero. A very long text is hashed in chunks."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * lanes
+        return 0
     hash64, seed = xxhash.xxh64_intdigest, 42
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros((lanes, 64), dtype=np.int64)
+    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, CHUNK):  # bounds the memory of a very long text
         part = words[at : min(at + CHUNK, n) + shingle - 1]
         grams = zip(*(part[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [part]
-        hashes = np.array([hash64(b" ".join(g), seed) for g in grams], dtype=np.uint64)
-        for lane in range(lanes):
-            x = hashes
-            if lane:
-                x = x * np.uint64(LANES[lane - 1])
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                x = x ^ (x >> np.uint64(29))
-            counts[lane] += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return [int.from_bytes(np.packbits(c * 2 > n).tobytes(), "big") for c in counts]
-
-
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of a whole text, unsigned 64 bit."""
-    return _majorities(text, shingle, 1)[0]
-
+        counts += bit_counts(np.array([hash64(b" ".join(g), seed) for g in grams], dtype=np.uint64))
+    return majority(counts, n)
 
-def wide_fingerprint(text: str | None, shingle: int = 3) -> list[int]:
-    """SimHash of 256 bits as four unsigned lanes."""
-    return _majorities(text, shingle, 1 + len(LANES))
 
-
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -72,37 +60,52 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def factory():
         def step(cols):
             fps = [fingerprint(t, shingle) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [_signed(x) for x in fps]}
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [signed(x) for x in fps]}
 
         return step
 
     return map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), factory, "doc_id bigint, text_hash bigint, fp bigint")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) at 1 or 2 differing bits,
-    enough of them to connect whatever such links connect.
+def _ball(value: Column, bits: int) -> list[Column]:
+    """value, and value with each one of its bits flipped."""
+    return [value, *(value.bitwiseXOR(F.lit(1 << i)) for i in range(bits))]
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b (a < b): all pairs of distinct fingerprints (column fp) at radius (2 or 3) or fewer differing bits.
 
-    A fingerprint is cut into two 32 bit segments. Within each segment the Hamming
-    ball of radius 1 is enumerated; the table's key is the segment's variant beside
-    the other, unchanged segment. Two fingerprints at 2 bits or less always have a
-    key in common (one bit from either side), and fingerprints with a key in common
-    are at 2 bits or less, so no bucket holds a false candidate and a bucket has 65
-    at most, however many copies the corpus has. Neighbours in a bucket are chained
-    rather than paired, and each chain link's whole distance is verified."""
-    ball = F.concat(F.array("fp"), *(F.transform(F.sequence(F.lit(lo), F.lit(lo + 31)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))) for lo in (0, 32)))
-    keys = fps.select("fp", F.explode(ball).alias("key"))
-    chain = keys.withColumn("before", F.lag("fp").over(Window.partitionBy("key").orderBy("fp")))
-    return chain.where(F.col("before").isNotNull() & (F.bit_count(F.col("before").bitwiseXOR(F.col("fp"))) <= 2)).select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
+    Multi-index hashing over two segments of 32 bits. The table holds every
+    fingerprint under the value of either segment. A query enumerates the Hamming
+    ball of radius 1 in the first segment; in the second it needs the value alone at
+    radius 2, the ball at radius 3: no pair escapes both. What the table gives back
+    agrees in a segment only; the distance of all 64 bits then rejects or links it.
 
+    A bucket with over CROWD fingerprints would pair them all with its queries. It is
+    split by the same indexing within the other segment, over halves of 16 bits, of
+    which one is equal or one bit off; no pair is lost by that."""
+    low, high = F.col("fp").bitwiseAND(F.lit(SECOND - 1)), F.shiftrightunsigned("fp", SEGMENT)
+    table = fps.select("fp", F.explode(F.array(high, low + SECOND)).alias("key"))
+    second = _ball(low, SEGMENT) if radius > 2 else [low]
+    queries = fps.select("fp", F.explode(F.array(*_ball(high, SEGMENT), *(x + SECOND for x in second))).alias("key"))
+    crowded = checkpointed(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("key").alias("_crowded")))
+    if bounded(crowded, 0):
+        table, queries = (x.withColumn("part", F.lit(0)) for x in (table, queries))
+    else:
+        crowded = F.broadcast(crowded) if bounded(crowded, BROADCAST_BUCKETS) else crowded
+        other = F.when(F.col("key") < SECOND, low).otherwise(high)
+        first, last = F.shiftrightunsigned(other, 16), other.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1 << 16))
+        ends = [first, last], [*_ball(first, 16), *(_ball(last, 16) if radius > 2 else [last])]
 
-def _segment(i: int) -> Column:
-    """Bits of segment i of the lanes."""
-    lane, shift = divmod(i * WIDE_BITS, 64)
-    x = F.shiftrightunsigned(F.col("lanes")[lane], shift)
-    if shift + WIDE_BITS > 64:
-        x = x.bitwiseOR(F.shiftleft(F.col("lanes")[lane + 1], 64 - shift))
-    return x.bitwiseAND(F.lit((1 << WIDE_BITS) - 1))
+        def split(rows: DataFrame, parts: list[Column]) -> DataFrame:
+            parts = F.when(F.col("_crowded").isNotNull(), F.array(*parts)).otherwise(F.array(F.lit(-1).cast("bigint")))
+            return rows.join(crowded, F.col("key") == F.col("_crowded"), "left").select("fp", "key", F.explode(parts).alias("part"))
+
+        table, queries = split(table, ends[0]), split(queries, ends[1])
+    q, t = queries.alias("q"), table.alias("t")
+    near = (F.col("q.fp") < F.col("t.fp")) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("t.fp"))) <= radius)
+    met = q.join(t, (F.col("q.key") == F.col("t.key")) & (F.col("q.part") == F.col("t.part")) & near)
+    return met.select(F.col("q.fp").alias("a"), F.col("t.fp").alias("b")).distinct()
 
 
 def _named(fps: DataFrame, stars: DataFrame) -> DataFrame:
@@ -123,44 +126,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     is the smallest doc_id that links reach. Null texts have fingerprint zero and
     link like any other; a null doc_id never becomes a component_id unless its
     component has no other; repeated rows give repeated rows; an empty table gives
-    none; other columns are ignored. Exact copies collapse to one fingerprint
-    before any pair is sought, and every join back is by fingerprint."""
+    none; other columns are ignored; very long texts are hashed in chunks, whole.
+    Exact copies collapse to one fingerprint before any pair is sought, and every
+    join back is by fingerprint, so that Spark can split a hot one."""
     own = checkpointed(fingerprints(docs, shingle))
     roots = _roots(own)
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    least = first.join(roots, first.fp == roots.class_fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = checkpointed(first.join(roots, first.fp == roots.class_fp).groupBy("root").agg(F.min("first_id").alias("component_id")))
     classes = roots.join(least, "root").select("class_fp", "component_id")
     return own.join(classes, own.fp == classes.class_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarity: tuple[int, int] = jaccard.SIMILARITY) -> DataFrame:
-    """One document of each group of near-duplicates, with all its columns: the first by
-    doc_id (null last), then shingle set and text hash; of equal rows one.
-
-    Documents link where their five-word shingles have a Jaccard similarity of 0.8 or
-    more. That is decided on the shingles themselves: neither 64 nor 256 bits of a
-    fingerprint tell such copies, least those that differ by one block.
-
-    Groups are decided on ids and hashes. Those that go meet the texts again by
-    doc_id and text hash, broadcast while they are few. Rows that repeat the one
-    which stays can't be told apart so; where there are any, only they are grouped."""
-    own = checkpointed(jaccard.prefixes(docs, shingle, similarity))
-    roots = jaccard.roots(own, docs, similarity, shingle)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")
-    counts = own.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
-    counts = checkpointed(counts.join(roots, counts.fp == roots.class_fp).select(rank.alias("rank"), "root", "n"))
-    first = counts.groupBy("root").agg(F.min("rank").alias("first"))
-    gone = counts.join(first, "root").select(F.col("rank.doc_id").alias("_id"), F.col("rank.text_hash").alias("_hash"), (F.col("rank") == F.col("first")).alias("twin"), "n").where("n > 1 or not twin")
-    gone = checkpointed(gone)
-    twins = gone.where("twin")
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-
-    def meet(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = F.broadcast(keys) if bounded(keys, BROADCAST_KEYS) else keys
-        return rows.join(keys, (rows.text_hash == keys._hash) & rows.doc_id.eqNullSafe(keys._id), how)
-
-    kept = meet(rows, gone, "left_anti").select("_row.*")
-    if bounded(twins, 0):
-        return kept
-    once = meet(rows, twins, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("_row").alias("_row"))
-    return kept.unionByName(once.select("_row.*"))

@@ -70,6 +70,31 @@ def components(fingerprints, radius=2):
     return {d: find(d) for d in ids}
 
 
+def word_shingles(text, size=5):
+    """Word shingles of a text as a set; of fewer words the whole sequence."""
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {(len(words), *words)}
+
+
+def similar(texts, p=4, q=5):
+    """For each text the first one that links reach, by exact similarity of all pairs with a shingle in common."""
+    sets, parent, by = [word_shingles(t) for t in texts], list(range(len(texts))), {}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for b, own in enumerate(sets):
+        for a in {a for x in own for a in by.get(x, ())}:
+            if len(sets[a] & own) * (p + q) >= (len(sets[a]) + len(own)) * p:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        for x in own:
+            by.setdefault(x, []).append(b)
+    return [find(k) for k in range(len(texts))]
+
+
 def quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from radiantlake.llm import decontam, html_diff, packing, pii, quality, secrets, sharding, simhash, tokencount, urlfilter
+from radiantlake.llm import decontam, dedup, html_diff, jaccard, packing, pii, quality, secrets, sharding, simhash, tokencount, urlfilter
 from radiantlake.llm.queries import URL_RULES, tokenizer_file
 
 from . import brute
@@ -62,6 +62,13 @@ def test_pii(spark):
         ("user&#64;example&#46;com", "email", "user&#64;example&#46;com"),
         ("j\u043ehn@ex\u0430mple.com", "email", "j\u043ehn@ex\u0430mple.com"),
         ("a\uff20x.com", "email", "a\uff20x.com"),
+        ("jan [at] firma [dot] pl", "email", "jan [at] firma [dot] pl"),
+        ("x [at] uni [dot] edu [dot] pl now", "email", "x [at] uni [dot] edu [dot] pl"),
+        ("write john.smith\nat example.org", "email", "john.smith\nat example.org"),
+        ("write john.smith\tat example.org", "email", "john.smith\tat example.org"),
+        ("a" * 500 + "(at)example.se", "email", "a" * 500 + "(at)example.se"),
+        ("tel +1 five five five 123 4567", "phone", "+1 five five five 123 4567"),
+        ("fivefivefivefivefivefivefivefivefivefive", "phone", "fivefivefivefivefivefivefivefivefivefive"),
         ("call plus one five five five zero one two three four five six seven ok", "phone", "plus one five five five zero one two three four five six seven"),
         ("five five five, oh one two three four five six", "phone", "five five five, oh one two three four five six"),
         ("card 4l11 1111 1111 1111.", "card", "4l11 1111 1111 1111"),
@@ -127,7 +134,7 @@ def test_completions_beat_best_fit():
     counts = np.zeros(101, dtype=int)
     for length in (60, 50, 50, 45):
         counts[length] += 1
-    assert sum(packing.completion(counts, 100)) == 100  # best fit takes 60 and stops
+    assert sum(packing.completions(counts, 100)[0][0]) == 100  # best fit takes 60 and stops
     plan = packing.bin_plan({70: 3, 30: 2, 20: 1, 10: 1, 100: 4, 1: 5}, 100)
     used = collections.Counter()
     for filling, times in plan:
@@ -175,45 +182,64 @@ def test_links_at_every_distance(spark):
 
 
 def test_keep_first(spark):
-    got = simhash.keep_first(table(spark))
+    got = dedup.keep_first(table(spark))
     assert got.columns == table(spark).columns
     kept = collections.Counter((r.doc_id, r.text) for r in got.collect())
-    fps = {(i, t): sum(x << 64 * k for k, x in enumerate(simhash.wide_fingerprint(t))) for i, t, _ in TEXTS}
-    keys = sorted(fps, key=lambda k: (k[0] is None, k[0] or 0))
-    own = brute.components({n: fps[k] for n, k in enumerate(keys)}, simhash.WIDE_RADIUS)
-    assert sum(kept.values()) == len(set(own.values()))
+    keys = sorted({(i, t) for i, t, _ in TEXTS}, key=lambda k: (k[0] is None, k[0] or 0))
+    own = brute.similar([t or "" for _, t in keys])
+    assert sum(kept.values()) == len(set(own))
     assert kept[1, TEXTS[0][1]] == 1 and kept[2, TEXTS[0][1]] == 0
     twins = table(spark, [(1, "same text here", "s")] * 3 + [(2, "another one altogether", "s")])
-    assert sorted(r.doc_id for r in simhash.keep_first(twins).collect()) == [1, 2]
-    assert simhash.keep_first(table(spark, [])).count() == 0
+    assert sorted(r.doc_id for r in dedup.keep_first(twins).collect()) == [1, 2]
+    assert dedup.keep_first(table(spark, [])).count() == 0
 
 
-def test_wide_links_find_near_copies(spark):
+def test_small_edits_go(spark):
     import random
 
     rng = random.Random(8)
-    rows, truth = [], {}
+    rows = []
     for k in range(60):
         words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((60, 200, 600)))]
         rows.append((2 * k, " ".join(words), "s"))
         for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
             words[at] = f"x{rng.randrange(4000)}"
         rows.append((2 * k + 1, " ".join(words), "s"))
-        truth[2 * k + 1] = 2 * k
-    left = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
-    assert left >= set(truth.values())
-    assert len(left & truth.keys()) <= 3
+    own = brute.similar([t for _, t, _ in rows])
+    left = {r.doc_id for r in dedup.keep_first(table(spark, rows)).collect()}
+    assert left == {rows[k][0] for k in set(own)} and len(left) < 75
 
 
-def test_wide_segments(spark):
+def test_crowded_buckets_are_split(spark):
+    """Hundreds of fingerprints that share a segment: all links, and no others."""
+    import random
+
+    rng = random.Random(10)
+    top = rng.getrandbits(32) << 32
+    fps = {top | rng.getrandbits(32) for _ in range(300)} | {rng.getrandbits(32) << 32 | 77 for _ in range(200)}
+    for f in list(fps)[:120]:
+        g = f
+        for b in rng.sample(range(64), 2):
+            g ^= 1 << b
+        fps |= {g, f ^ (1 << rng.randrange(64))}
+    for radius in (2, 3):
+        df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+        got = {(r.a, r.b) for r in simhash.links(df, radius).collect()}
+        signed = sorted(simhash.signed(f) for f in fps)
+        assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+
+
+def test_parities_never_exceed_what_sets_differ_in():
     import random
 
-    rng = random.Random(9)
-    lanes = [rng.getrandbits(64) for _ in range(4)]
-    whole = sum(x << 64 * k for k, x in enumerate(lanes))
-    df = spark.createDataFrame([([simhash._signed(x) for x in lanes],)], "lanes array<long>")
-    got = df.select(*(simhash._segment(i).alias(f"s{i}") for i in range(simhash.WIDE_SEGMENTS))).first()
-    assert list(got) == [whole >> (28 * i) & ((1 << 28) - 1) for i in range(9)]
+    rng = random.Random(11)
+    for _ in range(50):
+        words = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 900))]
+        other = words[: rng.randrange(len(words) + 1)] + [f"x{k}" for k in range(rng.randrange(40))]
+        a, b = (jaccard.shingles(" ".join(x)) for x in (words, other))
+        for width in (64, 128, 512):
+            x, y = (jaccard.parities(s, width) for s in (a, b))
+            assert sum(int(k).bit_count() for k in (x ^ y).view("u8")) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_urls(spark):
@@ -455,7 +481,7 @@ def test_block_edits_link_exactly_at_the_similarity(spark):
         rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
         truth[2 * k + 1] = shingle_similarity(rows[-2][1], rows[-1][1]) >= 0.8
     assert 20 < sum(truth.values()) < 70
-    left = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
+    left = {r.doc_id for r in dedup.keep_first(table(spark, rows)).collect()}
     assert left == {i for i, _, _ in rows if not truth.get(i)}
 
 
@@ -474,7 +500,7 @@ def test_links_inside_crowded_buckets(spark):
             x, y = parent[a], parent[b]
             parent = [min(x, y) if p in (x, y) else p for p in parent]
     assert 3 <= len(set(parent)) <= 20
-    assert {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()} == set(parent)
+    assert {r.doc_id for r in dedup.keep_first(table(spark, rows)).collect()} == set(parent)
 
 
 def test_items_of_slots_are_found_verbatim(spark):
@@ -482,3 +508,209 @@ def test_items_of_slots_are_found_verbatim(spark):
     docs = table(spark, [(1, f"Some lines before.\n{items[0][1]} and after.", "s"), (2, f"Lead. {items[1][1]} and more", "s"), (3, "Which Mountain Stands Behind The Town Of Bern In Southern Germany", "s"), (4, "The numbers 4 6 8 9 10 12 14 15 16 18 20 21 22 24 are others", "s")])
     got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2)}
+
+
+def test_short_items_are_found_by_all_their_words(spark):
+    items = [(1, "Maria has 12 apples"), (2, "Name a prime"), (3, "Too short"), (4, "one two three four five six")]
+    docs = table(spark, [(1, "Once Maria has 12 apples, she eats.", "s"), (2, "Once Maria has 13 apples.", "s"), (3, "name a prime!", "s"), (4, "Maria has", "s"), (5, "too short", "s"), (6, "", "s")])
+    got = {(r.doc_id, r.item_id, r.n_hits, r.n_windows) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 1, 1), (3, 2, 1, 1)}
+
+
+HARD_PAGES = [
+    ("<article><h1>T</h1><section id='discussion'><p>D</p></section><section id=related-work><p>R</p></section><p class='alert'>A</p><p class=ad>x</p><div class='ad-box'>x</div></article>", ["T", "D", "R", "A"]),
+    ("<article><p>E = <math><mi>m</mi></math> end</p></article>", ["E = m end"]),
+    ('<article><p>a <a title="5" tall">link text</a> b</p></article>', ["a link text b"]),
+    ("<article><p title=\"it's > that\">a</p><p title='x>y'>b</p><p title=\"never closed>c</p></article>", ["a", "b", "c"]),
+    ("<div class='container with-sidebar'><div class='page sidebar'><article><p>inside</p></article><p>out</p></div></div>", ["inside"]),
+    ("<div id=comments><article><p>a comment</p></article></div><article><p>story</p></article>", ["story"]),
+    ("<aside><article><p>teaser</p></article></aside><article><p>story</p><!-- never ends <p>x</p></article>", ["story"]),
+    ("<article><p>a < b and 3<4</p><p>x</p <p>y</p></article>", ["a < b and 3<4", "x", "y"]),
+    ("<p>before<script>if (a</p>", ["before"]),
+    ("<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>after</p>", ["deep", "after"]),
+]
+
+
+@pytest.mark.parametrize("html,blocks", HARD_PAGES)
+def test_hard_pages(html, blocks):
+    assert html_diff.parse(html)[0] == blocks
+
+
+@pytest.mark.parametrize("storm", ["<a \"", "<a =\"", "<a ='", "<div>", "</p>", "<li>", "<", "<!", "<!--", "<script>", "</script ", "<p><ul><li>", "&lt", "<div class='"])
+def test_storms_are_read_in_linear_time(storm):
+    import time
+
+    began = time.process_time()
+    html_diff.parse("<article><ul>" + storm * 40_000 + "</li>" * 20_000)
+    assert time.process_time() - began < 4
+
+
+def whole_pages(pages):
+    """Texts of pages by plain definitions: neighbours in one list, full tables of common subsequences."""
+    rows = sorted({(re.match("http://([^/]*)(/.*)", u).groups(), k, tuple(html_diff.parse(h)[0]), html_diff.parse(h)[1]) for k, (u, h) in pages.items()})
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        i, j, out = len(a), len(b), []
+        while i and j:
+            if best[i][j] == best[i][j - 1]:
+                j -= 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append(i)
+        return set(out)
+
+    texts = {}
+    for at, ((host, path), k, lines, inside) in enumerate(rows):
+        contents = {r[2] for r in rows if r[0][0] == host}
+        common = {x for c in contents for x in c if len(contents) >= 10 and sum(x in d for d in contents) >= 0.8 * len(contents)}
+        near = []
+        for side in (-1, 1):
+            i = at + side
+            while 0 <= i < len(rows) and rows[i][0][0] == host and rows[i][2] == lines:
+                i += side
+            if 0 <= i < len(rows) and rows[i][0][0] == host:
+                other = rows[i][0][1]
+                near.append((-next((n for n, (x, y) in enumerate(zip(path, other, strict=False)) if x != y), min(len(path), len(other))), rows[i]))
+        gone = set()
+        for _, row in sorted(near, key=lambda t: t[0]):
+            shared = lcs(lines, row[2])
+            size = lambda xs: sum(len(x) for x in xs if x not in common)
+            copies = size(lines[i] for i in shared) >= 0.8 * max(1, min(size(lines), size(row[2])))
+            if not copies:
+                gone = {i for i in shared if lines[i] in common} if inside else shared
+                break
+            gone = gone or {i for i in shared if lines[i] in common}
+        texts[k] = "\n\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return texts
+
+
+def test_whole_pages_by_plain_alignment(spark):
+    """Template lines around and inside articles, passages that articles share, runs of copies."""
+    import random
+
+    rng = random.Random(21)
+    pages, k = {}, 0
+    for host, article in (("a.example", True), ("b.example", False), ("c.example", True)):
+        quote = f"A passage that several pages of {host} quote."
+        for n in range(24):
+            body = [f"Line {rng.randrange(10**6)} of page {n}." for _ in range(rng.randrange(1, 5))]
+            body.insert(rng.randrange(len(body) + 1), quote if n % 3 == 0 else f"Another line {rng.randrange(10**6)}.")
+            inner = "".join(f"<p>{x}</p>" for x in ["Share this story with all you know.", *body, "Standing line at the end."])
+            html = f"<div>Menu</div>{'<article>' if article else '<div>'}{inner}{'</article>' if article else '</div>'}<div>Imprint</div>"
+            for _ in range(4 if n == 7 else 1):
+                pages[k] = (f"http://{host}/{'xy'[n % 2]}/{k:03}", html)
+                k += 1
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_template) for r in html_diff.extract_text(df.repartition(3)).collect()}
+    want = whole_pages(pages)
+    assert {k: t for k, (t, _) in got.items()} == want
+    assert all("Share this" not in t and "Standing" not in t and "Menu" not in t for t in want.values())
+    assert sum("A passage" in t for k, t in want.items() if "a.example" in pages[k][0]) == 8
+    assert all(n > 0 for _, n in got.values())
+
+
+def test_first_looks_change_no_result():
+    import random
+
+    rng = random.Random(31)
+    parts = "a anna.b john at @ [at] (AT) {arroba} &#64; %40 example firma uni . dot [dot] (punto) &#46; com org pl \n \t \u00a0 \u0430 \uff20 \u0660 0 1 12 192 168 + plus one two three five oh \u017f punkt \u212a O l 4l11 - , ; null eins zw\u00f6lf Dot AT".split(" ") + [" "] * 12
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(2, 16)))
+        assert pii.disguised(text) == pii.disguised(text, look=False), repr(text)
+
+
+@pytest.mark.parametrize("storm", ["a at ", "a@", "[at] ", "one ", "1 ", "a.", "five-", "O0 ", "\u0430", "at at ", " dot", "x [dot] "])
+def test_disguises_take_linear_time(storm):
+    import time
+
+    began = time.process_time()
+    pii.find(storm * 20_000 + "z [at] y.com")
+    assert time.process_time() - began < 6
+
+
+def test_stored_ledger_over_snapshots_and_versions(spark, tmp_path):
+    """Two snapshots with all their historical versions, two rule versions: each pair of blob and version is scanned once."""
+    path = str(tmp_path / "ledger")
+    history = [("a.txt", 1, "token=abcdefgh"), ("a.txt", 2, "plain"), ("b.txt", 1, "token=abcdefgh"), ("c.txt", 1, None)]
+    later = [("a.txt", 3, "password=zzzzzzzz"), ("d.txt", 1, "plain"), ("d.txt", 2, "password=zzzzzzzz"), ("b.txt", 2, "")]
+    schema = "path string, revision int, text string, blob string"
+    snapshots = [spark.createDataFrame([(*x, "clash") for x in rows], schema) for rows in (history, history + later)]
+    sizes = []
+    for docs, version in ((snapshots[0], "base-1"), (snapshots[1], "base-1"), (snapshots[1], "base-1"), (snapshots[1], "base-2")):
+        got = secrets.findings(docs, path=path, version=version, keys=("path", "revision")).collect()
+        book = secrets.stored_ledger(spark, path).collect()
+        assert len({(r.blob, r.rules_version) for r in book}) == len(book)
+        sizes.append(len(book))
+    assert sizes == [3, 4, 4, 8]
+    assert {(r.path, r.revision, r.spans) for r in got} == {(p, v, {"t": "assign:0:14", "p": "assign:0:17"}.get(t[0], "") if t and "=" in t else "") for p, v, t in history + later}
+
+
+def fewest(lengths, capacity):
+    """Sequences needed, by trying all ways."""
+    from functools import cache
+
+    @cache
+    def most_open(rest):
+        if not rest:
+            return (0, 0)
+        best = None
+        for i in range(len(rest)):
+            if i and rest[i] == rest[i - 1]:
+                continue
+            n, filled = most_open(rest[:i] + rest[i + 1 :])
+            x = (n, filled + rest[i]) if n and filled + rest[i] <= capacity else (n + 1, rest[i])
+            best = x if best is None or x < best else best
+        return best
+
+    return most_open(tuple(sorted(lengths)))[0]
+
+
+def test_bin_search_against_all_ways():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(17)
+    off = 0
+    for _ in range(60):
+        lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 10))]
+        histogram = collections.Counter(lengths)
+        plan, bound = packing.bin_search(histogram, 60)
+        used = collections.Counter()
+        for filling, times in plan:
+            assert sum(filling) <= 60
+            for x in filling:
+                used[x] += times
+        assert used == histogram
+        counts = np.zeros(61, dtype=np.int64)
+        for x, n in histogram.items():
+            counts[x] = n
+        best = fewest(lengths, 60)
+        assert bound == packing.lower_bound(counts, 60) <= best <= sum(t for _, t in plan)
+        off += sum(t for _, t in plan) > best
+    assert off == 0
+
+
+def test_bin_search_goes_back():
+    """Completing each bin with the least waste takes one sequence more than the best."""
+    lengths = {6: 3, 5: 3, 4: 3, 3: 3, 2: 6}
+    plan, bound = packing.bin_search(lengths, 11)
+    assert sum(t for _, t in plan) == bound == -(-sum(k * v for k, v in lengths.items()) // 11)
+
+
+def test_completions_are_undominated():
+    import numpy as np
+
+    counts = np.zeros(40, dtype=np.int64)
+    for x, n in {20: 1, 17: 1, 12: 2, 9: 3, 5: 2, 3: 4}.items():
+        counts[x] = n
+    found, _ = packing.completions(counts, 37, most=5)
+    assert sum(found[0]) == 37 and len({tuple(f) for f in found}) == len(found)
+    assert [37 - sum(f) for f in found] == sorted(37 - sum(f) for f in found)
+    assert not any(packing._dominated(f, 37 - sum(f), counts) for f in found[1:])
