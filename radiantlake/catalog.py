@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import file_queries  # noqa: F401  registers its queries
 from .plans.queries import ORACLE_SQL, QUERIES, rotation_codec_error
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -12,16 +14,23 @@ from pyspark.sql.functions import pandas_udf
 from .scalars import dot, matvec, unit
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rotation_matrix(q: Column, normalize: bool = True) -> Column:
     """Rows of the rotation of quaternion (w, x, y, z)."""
-    if normalize:
-        q = unit(q)
-    w, x, y, z = (q[i] for i in range(4))
-    return F.array(
-        F.array(1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
-        F.array(2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)),
-        F.array(2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)),
-    )
+
+    def rows(q: Column) -> Column:
+        w, x, y, z = (q[i] for i in range(4))
+        return F.array(
+            F.array(1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
+            F.array(2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)),
+            F.array(2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)),
+        )
+
+    return _with(unit(q), rows) if normalize else rows(q)
 
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
@@ -30,32 +39,30 @@ def quaternion(rows: pd.Series) -> pd.Series:
     largest eigenvalue of its symmetric 4 x 4 form, which also gives the nearest
     rotation of an inexact matrix. Null for null."""
 
-    def one(m):
-        if m is None:
-            return None
-        r = np.array([list(x) for x in m], dtype=float)
-        diagonal, trace = np.diag(r), np.trace(r)
-        k = np.empty((4, 4))
-        k[:3, :3] = r + r.T - np.eye(3) * trace
-        k[3, :3] = k[:3, 3] = [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]]
-        k[3, 3] = diagonal.sum()
-        values, vectors = np.linalg.eigh(k)
-        x, y, z, w = vectors[:, values.argmax()]
-        q = np.array([w, x, y, z])
-        return (q if w >= 0 else -q).tolist()
-
-    return rows.map(one)
+    known = rows.notna().to_numpy()
+    out = pd.Series([None] * len(rows), dtype=object)
+    if known.any():
+        r = np.array([[list(x) for x in m] for m in rows[known]], dtype=float)
+        k = np.zeros((len(r), 4, 4))
+        k[:, :3, :3] = r + r.transpose(0, 2, 1) - np.eye(3) * np.trace(r, axis1=1, axis2=2)[:, None, None]
+        k[:, 3, :3] = k[:, :3, 3] = np.stack([r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]], axis=1)
+        k[:, 3, 3] = np.trace(r, axis1=1, axis2=2)
+        vectors = np.linalg.eigh(k)[1][:, :, -1]
+        q = vectors[:, [3, 0, 1, 2]]
+        q = np.where(q[:, :1] >= 0, q, -q)
+        out[known] = pd.Series(list(q), index=np.flatnonzero(known))
+    return out
 
 
 def covariance(scales: Column, rotation: Column, modifier: float = 1.0) -> Column:
     """Upper triangle (xx, xy, xz, yy, yz, zz) of R S S^T R^T; scales are activated."""
     spread = F.zip_with(scales, scales, lambda a, b: a * b * (modifier * modifier))
-    rows = rotation_matrix(rotation)
 
-    def entry(i: int, j: int) -> Column:
-        return dot(F.zip_with(rows[i], rows[j], lambda a, b: a * b), spread)
+    def entries(x: Column) -> Column:
+        rows, s = x["rows"], x["spread"]
+        return F.array(*(rows[i][0] * rows[j][0] * s[0] + rows[i][1] * rows[j][1] * s[1] + rows[i][2] * rows[j][2] * s[2] for i in range(3) for j in range(i, 3)))
 
-    return F.array(*(entry(i, j) for i in range(3) for j in range(i, 3)))
+    return _with(F.struct(rotation_matrix(rotation).alias("rows"), spread.alias("spread")), entries)
 
 
 def camera_center(rotation: Column, t: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +75,13 @@ def view_table(df: DataFrame, by: list[str], name: str, metric: str) -> DataFram
 
 
 def smoothed(df: DataFrame, value: str, by: list[str], order: str, share: float = 0.4) -> DataFrame:
-    """Exponential moving average from zero along an order, at the last row of each group."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).alias("_v"))))
-    return df.groupBy(*by).agg(F.aggregate(rows, F.lit(0.0), lambda s, x: x["_v"] * share + s * (1 - share)).alias("smoothed"))
+    """Exponential moving average from zero along an order, at the last row of each group.
+
+    A row's weight falls by 1 - share with each row after it, so rows beyond those whose
+    weight is over 2^-70 change no digit of a double; only these leave a task."""
+    last = max(1, math.ceil(-70 / math.log2(1 - share))) if share < 1 else 1
+    rows = df.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_back") <= last)
+    return rows.groupBy(*by).agg(F.sum(F.col(value) * share * F.pow(F.lit(1.0 - share), F.col("_back") - 1)).alias("smoothed"))
 
 
 def held_out(df: DataFrame, by: list[str], every: int = 8, within: list[str] | None = None) -> DataFrame:

@@ -5,13 +5,15 @@ A coded table stays a table: codes, and the few numbers that decode them, in Par
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attributes, codebook, deltas, factor, merging, ordering, rotation_codec, uniform
+from ..sources import container, ply
 
 #: Rows that a container may take through the driver.
 CONTAINER_ROWS = 5_000_000
@@ -216,6 +218,24 @@ def from_arrays(spark, arrays: dict[str, np.ndarray], options: Options) -> DataF
     return spark.createDataFrame(pd.DataFrame(cols), schema)
 
 
+def compress_file(spark: SparkSession, path: str, to: str, options: Options = Options()) -> int:
+    """A primitive file to a coded container, with its options; returns the container's bytes."""
+    arrays = to_arrays(compress(ply.read_primitives(spark, path), options), options)
+    arrays["options"] = np.frombuffer(json.dumps(asdict(options)).encode(), dtype=np.uint8)
+    data = container.dump(arrays)
+    with open(to, "wb") as f:
+        f.write(data)
+    return len(data)
+
+
+def decompress_file(spark: SparkSession, path: str, to: str) -> int:
+    """A coded container to a primitive file, in the stored order; returns the rows."""
+    with open(path, "rb") as f:
+        arrays = container.load(f.read())
+    options = Options(**json.loads(arrays["options"].tobytes()))
+    return ply.write_primitives(decompress(from_arrays(spark, arrays, options), options), to)
+
+
 def attribute_errors(before: DataFrame, after: DataFrame) -> DataFrame:
     """attribute, mse, nmse (mse over variance) between two tables, by splat_id."""
     names = [*attributes.WIDTHS, "opacity"]

@@ -79,9 +79,8 @@ def _whole(spark: SparkSession, sf: str) -> DataFrame:
 @query(_rotq_sql("SELECT scene, count(*) AS n, round(avg(list_sum(list_transform(range(1, 65), lambda i: (e[i] - decoded[i]) ** 2))), 6) + 0.0 AS error FROM b GROUP BY scene"))
 def rotation_codec_error(spark: SparkSession, sf: str) -> DataFrame:
     """Mean squared reconstruction error of the rotation codec, by label."""
-    rows = _whole(spark, sf).withColumn("c", rotation_codec.encode(F.col("e"), DIM, BITS))
-    back = rows.withColumn("d", rotation_codec.decode(F.col("c.codes"), F.col("c.norm"), DIM, BITS))
-    return back.groupBy("scene").agg(F.count("*").alias("n"), r(F.avg(rotation_codec.squared_error(F.col("e"), F.col("d")))).alias("error"))
+    back = rotation_codec.decode_bulk(rotation_codec.encode_bulk(_whole(spark, sf), "e", DIM, BITS), DIM, BITS)
+    return back.groupBy("scene").agg(F.count("*").alias("n"), r(F.avg(rotation_codec.squared_error(F.col("e"), F.col("decoded")))).alias("error"))
 
 
 @query(_rotq_sql("SELECT splat_id, array_to_string(codes, ',') AS codes, round(norm, 6) + 0.0 AS norm FROM c"))
@@ -378,9 +377,9 @@ def chosen_views(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(reports.probe_views(rows, ["view"], ["scene"]).select("scene", "view", F.lit("probe").alias("kind")))
 
 
-@query()
+@query(f"WITH {M}, k AS (SELECT scene, value, count(*) OVER (PARTITION BY scene) - row_number() OVER (PARTITION BY scene ORDER BY view) AS back FROM e) SELECT scene, round(sum(value * 0.4 * pow(0.6, back)), 6) + 0.0 AS smoothed FROM k GROUP BY scene")
 def smoothed_metric(spark: SparkSession, sf: str) -> DataFrame:
-    """Moving average at the end of each scene's views; a fold, tested against a loop."""
+    """Moving average at the end of each scene's views."""
     return reports.smoothed(metrics(spark, sf), "value", ["scene"], "view").select("scene", r("smoothed").alias("smoothed"))
 
 
