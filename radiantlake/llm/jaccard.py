@@ -88,8 +88,8 @@ def parities(own: np.ndarray, width: int) -> np.ndarray:
 
 
 def parity_width(n: int) -> int:
-    """Places for n shingles: 128 to 512, at least n where that allows; sets that may link differ by one step at most."""
-    return min(512, max(128, 1 << (n - 1).bit_length()))
+    """Places for n shingles: 128 to 4096, at least n where that allows; sets that may link differ by one step at most."""
+    return min(4096, max(128, 1 << (n - 1).bit_length()))
 
 
 def prefixes(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -153,12 +153,16 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, parts: int, si
     x, y = texts.alias("x"), texts.alias("y")
     some = pairs.join(x, F.col("a") == F.col("x.fp")).join(y, F.col("b") == F.col("y.fp")).where((F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p) & _may("x", "y", similarity))
     some = checkpointed(some.select("a", "b", F.col("x.row").alias("a_row"), F.col("y.row").alias("b_row")).coalesce(parts))
-    ends = checkpointed(some.select(F.col("a_row").alias("_row")).union(some.select("b_row")).distinct().select(F.col("_row.text_hash").alias("_hash"), F.col("_row.doc_id").alias("_id")))
-    if bounded(ends, BROADCAST_TEXTS):
-        ends = F.broadcast(ends)
-    whole = docs.select("text", "doc_id", F.xxhash64("text").alias("_own")).join(ends, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    made = checkpointed(sets(whole, size))
-    left, right = (made.select(F.col("fp").alias(c), F.col("own").alias(f"{c}_own")) for c in "ab")
+
+    def side(c: str) -> DataFrame:
+        """Sets of one side's texts; those of the first are few, so most sets are made and moved once."""
+        ends = checkpointed(some.select(f"{c}_row.text_hash", f"{c}_row.doc_id").distinct().toDF("_hash", "_id").coalesce(parts))
+        if bounded(ends, BROADCAST_TEXTS):
+            ends = F.broadcast(ends)
+        whole = docs.select("text", "doc_id", F.xxhash64("text").alias("_own")).join(ends, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return sets(whole, size).select(F.col("fp").alias(c), F.col("own").alias(f"{c}_own"))
+
+    left, right = side("a"), side("b")
     shared = F.size(F.array_intersect("a_own", "b_own"))
     return some.select("a", "b").join(left, "a").join(right, "b").where(shared * (p + q) >= (F.size("a_own") + F.size("b_own")) * p).select("a", "b")
 
