@@ -620,9 +620,11 @@ def test_first_looks_change_no_result():
 
     rng = random.Random(31)
     parts = "a anna.b john at @ [at] (AT) {arroba} &#64; %40 example firma uni . dot [dot] (punto) &#46; com org pl \n \t \u00a0 \u0430 \uff20 \u0660 0 1 12 192 168 + plus one two three five oh \u017f punkt \u212a O l 4l11 - , ; null eins zw\u00f6lf Dot AT".split(" ") + [" "] * 12
-    for _ in range(6000):
+    parts += "F\u0131VE n\u0130ne S\u0131x \u017fix \u017f\u0130ETE PUN\u212aT cuatr\u00d3 z\u00c9ro f\u00dcnf CERO po\u0131nt &PER\u0130OD; &commat; &#X40; \u2003 \u3000 \x0b \x1c \x85 \x00 \U0001d7d4".split(" ")
+    for _ in range(9000):
         text = "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(2, 16)))
         assert pii.disguised(text) == pii.disguised(text, look=False), repr(text)
+        assert pii.first_looks([text]) == [(bool(pii.SIGN.search(text)), bool(pii.SPELLED_WORD.search(text)))], repr(text)
 
 
 @pytest.mark.parametrize("storm", ["a at ", "a@", "[at] ", "one ", "1 ", "a.", "five-", "O0 ", "\u0430", "at at ", " dot", "x [dot] "])
