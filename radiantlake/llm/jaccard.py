@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded, checkpointed, map_columns
+from .common import bounded, checkpointed, map_columns, steps
 from .components import connected_components
 
 #: Words of a shingle, and the least Jaccard similarity of linked texts as a fraction.
 SHINGLE = 5
 SIMILARITY = (4, 5)
-#: Shingles that come last in the order of prefixes: so many at most, of those found so often in one of so many texts.
-COMMON, OFTEN, ONE_OF = 200_000, 3, 16
+#: Places that the shingles of all texts are counted in, and places of a row of counts.
+PLACES, STRETCH = 1 << 22, 1 << 14
 #: Texts (8 bytes each) whose shingles are asked for by a broadcast at most.
 BROADCAST_TEXTS = 200_000
 
@@ -68,15 +68,55 @@ def sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_columns(docs.select("text"), factory, "fp bigint, own array<bigint>")
 
 
-def common_shingles(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """Sorted shingles that many texts have, the most frequent ones up to COMMON.
+def places(own: np.ndarray) -> np.ndarray:
+    """The place of each shingle among PLACES."""
+    return (_mixed(own.view(np.uint64) ^ _M2) >> np.uint64(65 - PLACES.bit_length())).astype(np.int64)
 
-    Counted in one of ONE_OF texts, which is enough: they only settle in what order
-    shingles are compared, so that buckets are small. Links never depend on them."""
-    few = docs.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(ONE_OF)) == 0)
-    counts = sets(few, size).dropDuplicates(["fp"]).select(F.explode("own").alias("x")).groupBy("x").count().where(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.desc("count"), "x").limit(COMMON).select("x").collect()
-    return np.sort(np.array([r.x for r in rows], dtype=np.int64))
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: four steps to a doubling, so no size of the input runs out of them."""
+    return np.floor(4 * np.log2(counts + 1)).astype(np.uint8)
+
+
+def shingle_ranks(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
+    """The rank of each place: how often its shingles come in all texts.
+
+    Every text is counted. A task adds up its own texts and hands on a row for each
+    stretch of places; rows of a stretch are added up one after the other. So the
+    shuffle is bounded by the number of tasks, a worker holds one count for each
+    place, and the driver gets PLACES bytes, at any size. Shingles that meet in a place
+    share its rank; that is only an order, and links never depend on it."""
+    import zlib
+
+    import pyarrow as pa
+
+    def count(batches):
+        counts = np.zeros(PLACES, dtype=np.int64)
+        for batch in (x for whole in batches for x in steps(whole)):
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, places(shingles(text, size)), 1)
+        for at in range(PLACES // STRETCH):
+            part = counts[at * STRETCH : (at + 1) * STRETCH]
+            if most := part.max():
+                packed = zlib.compress(part.astype(np.uint8 if most < 256 else np.int64).tobytes(), 1)
+                yield pa.RecordBatch.from_pydict({"stretch": pa.array([at], pa.int32()), "part": pa.array([packed], pa.binary())})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = zlib.decompress(packed)
+                part = np.frombuffer(raw, dtype=np.uint8 if len(raw) == STRETCH else np.int64)
+                sums.setdefault(at, np.zeros(STRETCH, dtype=np.int64))
+                sums[at] += part
+        for at, total in sums.items():
+            yield pa.RecordBatch.from_pydict({"stretch": pa.array([at], pa.int32()), "part": pa.array([ranks(total).tobytes()], pa.binary())})
+
+    schema = "stretch int, part binary"
+    out = np.zeros(PLACES, dtype=np.uint8)
+    for row in docs.select("text").mapInArrow(count, schema).repartition("stretch").mapInArrow(add, schema).collect():  # PLACES / STRETCH rows
+        out[row.stretch * STRETCH : (row.stretch + 1) * STRETCH] = np.frombuffer(bytes(row.part), dtype=np.uint8)
+    return out
 
 
 def parities(own: np.ndarray, width: int) -> np.ndarray:
@@ -96,13 +136,13 @@ def prefixes(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] =
     """doc_id, text_hash, fp, n (shingles), sim (the shingles' SimHash), odd and odd_half
     (parities at the set's width and at half of it) and prefix for every row of docs.
 
-    All sets are ordered alike, common shingles last. Sets at the similarity or above
+    All sets are ordered alike, rarest places first. Sets at the similarity or above
     share one of their first n - ceil(similarity * n) + 1 shingles, the prefix."""
     p, q = similarity
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+    ranked = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, size))
 
     def factory():
-        late = common.value
+        rank = ranked.value
 
         def step(cols):
             out = {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"]} | {k: [] for k in ("fp", "n", "sim", "odd", "odd_half", "prefix")}
@@ -111,10 +151,7 @@ def prefixes(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] =
                 n = len(own)
                 width = parity_width(n)
                 sim = simhash.majority(sum(simhash.bit_counts(own[at : at + simhash.CHUNK].view(np.uint64)) for at in range(0, n, simhash.CHUNK)), n)
-                first = own
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-                    first = own[np.argsort(late[at] == own, kind="stable")]
+                first = own[np.argsort(rank[places(own)], kind="stable")]
                 for name, v in (("fp", _set_hash(own)), ("n", n), ("sim", simhash.signed(sim)), ("odd", parities(own, width)), ("odd_half", parities(own, width // 2)), ("prefix", first[: n - -(-p * n // q) + 1])):
                     out[name].append(v)
             return out

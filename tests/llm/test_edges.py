@@ -242,6 +242,45 @@ def test_parities_never_exceed_what_sets_differ_in():
             assert sum(int(k).bit_count() for k in (x ^ y).view("u8")) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_shingles_of_all_texts_are_counted(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(12)
+    texts = [None, "", "a b"] + [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 400))) for _ in range(60)] * 3
+    want = np.zeros(jaccard.PLACES, dtype=np.int64)
+    for t in texts:
+        for at in jaccard.places(jaccard.shingles(t)):
+            want[at] += 1
+    for parts in (1, 7):
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        assert (jaccard.shingle_ranks(df) == jaccard.ranks(want)).all()
+    assert not jaccard.shingle_ranks(df.limit(0)).any()
+    assert list(jaccard.ranks(np.array([0, 1, 3, 10**15]))) == [0, 4, 8, 199]
+
+
+def test_links_do_not_depend_on_ranks(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = []
+    for k in range(40):
+        words = list(base)
+        at = rng.randrange(150)
+        words[at : at + k] = [f"x{rng.randrange(9)}" for _ in range(k)]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(r.doc_id for r in dedup.keep_first(df).collect())
+    assert 1 < len(want) < 40
+    for order in (np.zeros(jaccard.PLACES, dtype=np.uint8), np.random.default_rng(0).integers(0, 256, jaccard.PLACES, dtype=np.uint8)):
+        monkeypatch.setattr(jaccard, "shingle_ranks", lambda docs, size=5, order=order: order)
+        assert sorted(r.doc_id for r in dedup.keep_first(df).collect()) == want
+
+
 def test_urls(spark):
     urls = [None, "", "example.org/es/x", "http://EXAMPLE.org/es/1", "https://a.example.org/en/1", "http://notexample.org/es/", "x://org", "x://org/", "http://de.com/de/?q=/fr/", "http://a.b.com/fr/#x", "://com/de/", "http://example.org?x", "a://b://com/de/", "http://example.org/en/148.html", "http://com\n/de/"]
     df = spark.createDataFrame([(k % 5 if k else None, u, "h", "r") for k, u in enumerate(urls)] * 2, "page_id long, url string, host string, rule string")
