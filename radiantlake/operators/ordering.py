@@ -10,6 +10,8 @@ from ..functions.scalars import sigmoid
 MORTON_BITS = 21
 # Fixed value: an axis of a Morton box is at least so long.
 LEAST_EXTENT = 1e-6
+#: Rows that one window numbers, unless equal keys are more.
+CELL_ROWS = 32_768
 
 
 def bounding_box(df: DataFrame, column: str = "xyz", least: float = 0.0) -> DataFrame:
@@ -116,16 +118,31 @@ def by_voxel(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("voxel", "splat_id").sortWithinPartitions("voxel", "splat_id")
 
 
-def numbered(df: DataFrame, by: list[str], within: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], within: list[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """df with ordinal, from 0, in the order of `by`, for each group of `within`.
 
-    Without groups ranks come from a range-partitioned sort and one count for each
-    partition (broadcast), not from a single-partition window."""
+    Without groups a row's cell is found by its values, and a window numbers each cell,
+    so there is no single-partition window. That never asks where a row was dealt to:
+    ranges are sampled anew whenever a plan is evaluated, so ranks that join the
+    partitions of one evaluation with the counts of another would collide."""
     if within:
         return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*within).orderBy(*by)) - 1)
-    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    # a row for each partition; the running sum over them is small whatever the data
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = F.col("_row") - F.shiftleft(F.col("_part").cast("bigint"), 33)
-    return dealt.join(F.broadcast(before), "_part").withColumn("ordinal", (F.col("_before") + local).cast("bigint")).drop("_part", "_row", "_before")
+    found = df.crossJoin(F.broadcast(_cells(df, by, cell_rows)))
+    # binary search for the last cell whose least key is not above the row's
+    at = F.aggregate("_steps", F.lit(0), lambda i, s: F.when(F.get(F.col("_cells"), i + s)["_least"] <= F.struct(*by), i + s).otherwise(i))
+    rows = found.withColumn("_before", F.get(F.col("_cells"), at)["_before"]).drop("_cells", "_steps")
+    place = F.row_number().over(Window.partitionBy("_before").orderBy(*by)) - 1
+    return rows.withColumn("ordinal", (F.col("_before") + place).cast("bigint")).drop("_before")
+
+
+def _cells(df: DataFrame, by: list[str], cell_rows: int) -> DataFrame:
+    """One row: _cells, each with its least key and the rows before it, in order; _steps,
+    powers of two that search them. Equal keys share a cell, whatever their number."""
+    local = F.col("_row").bitwiseAND((1 << 33) - 1)
+    dealt = df.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    runs = dealt.groupBy("_part", F.floor(local / cell_rows).alias("_run")).agg(F.min(F.struct(*by)).alias("_least"), F.max(F.struct(*by)).alias("_most"), F.count("*").alias("_n"))
+    # a row for each cell_rows rows; a run begins a cell if all keys before are below its own
+    earlier = Window.orderBy("_least", "_most").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = runs.withColumns({"_top": F.max("_most").over(earlier), "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0))}).where("_top IS NULL OR _top < _least")
+    cells = cuts.agg(F.array_sort(F.collect_list(F.struct("_before", "_least"))).alias("_cells"))
+    return cells.withColumn("_steps", F.expr("transform(sequence(cast(ceil(log2(greatest(size(_cells), 1))) AS int), 0), k -> shiftleft(1, k))"))

@@ -228,12 +228,14 @@ def compress_file(spark: SparkSession, path: str, to: str, options: Options = Op
     return len(data)
 
 
-def decompress_file(spark: SparkSession, path: str, to: str) -> int:
-    """A coded container to a primitive file, in the stored order; returns the rows."""
+def decompress_file(spark: SparkSession, path: str, to: str, kind: str = "float") -> int:
+    """A coded container to a primitive file, in the stored order; returns the rows.
+
+    Levels are worked out in double precision, which a file of kind "double" keeps."""
     with open(path, "rb") as f:
         arrays = container.load(f.read())
     options = Options(**json.loads(arrays["options"].tobytes()))
-    return ply.write_primitives(decompress(from_arrays(spark, arrays, options), options), to)
+    return ply.write_primitives(decompress(from_arrays(spark, arrays, options), options), to, kind)
 
 
 def attribute_errors(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -215,12 +215,12 @@ _BITS = codecs.Options().bits()
     + " FROM p, s"
 )
 def coded_file(spark: SparkSession, sf: str) -> DataFrame:
-    """A primitive file to a coded file and back to a primitive file."""
+    """A primitive file to a coded file and back to a primitive file, of doubles: rounded to floats some would fall to the other side of a fifth place."""
     folder = scratch(spark)
     raw, coded, back = (os.path.join(folder, n) for n in ("raw.ply", "coded.ts", "back.ply"))
     ply.write_primitives(prims(spark, sf), raw)
     codecs.compress_file(spark, raw, coded)
-    codecs.decompress_file(spark, coded, back)
+    codecs.decompress_file(spark, coded, back, "double")
     rows = ply.read_primitives(spark, back)
     return rows.select("splat_id", *((F.round(F.col(c) if i is None else F.get(c, F.lit(i)), 5) + F.lit(0.0)).alias(name) for name, (c, i) in _STORED.items()))
 

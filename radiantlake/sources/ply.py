@@ -19,7 +19,7 @@ from ..operators.ordering import numbered
 NUMPY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 ORDERS = {"binary_little_endian": "<", "binary_big_endian": ">", "ascii": ""}
 SPARK = {"i1": T.ByteType(), "u1": T.ShortType(), "i2": T.ShortType(), "u2": T.IntegerType(), "i4": T.IntegerType(), "u4": T.LongType(), "f4": T.FloatType(), "f8": T.DoubleType()}
-# The columns of a primitive file, in order; all are floats.
+# The columns of a primitive file, in order; all are floats, unless doubles are asked for.
 PRIMITIVE_COLUMNS = ["x", "y", "z", "nx", "ny", "nz", *(f"f_dc_{i}" for i in range(3)), *(f"f_rest_{i}" for i in range(45)), "opacity", *(f"scale_{i}" for i in range(3)), *(f"rot_{i}" for i in range(4))]
 POINT_COLUMNS = [*((c, "float") for c in ("x", "y", "z", "nx", "ny", "nz")), *((c, "uchar") for c in ("red", "green", "blue"))]
 
@@ -166,11 +166,11 @@ def write_ply(df: DataFrame, path: str, columns: list[tuple[str, str]], by: list
     return int(done or 0)
 
 
-def write_primitives(df: DataFrame, path: str) -> int:
-    """The inverse of read_primitives, with zero normals."""
+def write_primitives(df: DataFrame, path: str, kind: str = "float") -> int:
+    """The inverse of read_primitives, with zero normals; as kind "double" no digit is lost."""
     flat = unpack_columns(df, {"xyz": ("p_", 3), "sh_dc": ("f_dc_", 3), "sh_rest": ("f_rest_", 45), "scales": ("scale_", 3), "rotations": ("rot_", 4)})
     flat = flat.withColumnsRenamed({"p_0": "x", "p_1": "y", "p_2": "z"}).withColumns({c: F.lit(0.0) for c in ("nx", "ny", "nz")})
-    return write_ply(flat, path, [(c, "float") for c in PRIMITIVE_COLUMNS], ["splat_id"])
+    return write_ply(flat, path, [(c, kind) for c in PRIMITIVE_COLUMNS], ["splat_id"])
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
