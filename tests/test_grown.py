@@ -31,7 +31,7 @@ def narrow(spark):
     spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("name", ["coded_file", "primitive_file"])
+@pytest.mark.parametrize("name", ["coded_file", "point_file", "primitive_file"])
 def test_file_is_exact(spark, grown, narrow, name):
     df = catalog.QUERIES[name](spark, grown)
     got = sorted(map(tuple, df.collect()))
