@@ -9,6 +9,7 @@ import json
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..sources import container, ply
 
 #: Rows that a container may take through the driver.
 CONTAINER_ROWS = 5_000_000
+#: Rows that leave the driver as one; codes that are packed at once, whole bytes at any width.
+BLOCK_ROWS, STRETCH = 16_384, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,7 @@ class Options:
 
 
 SCALARS = ["xyz", "sh_dc", "scales", "rotations", "opacity"]
+WIDTHS = {**attributes.WIDTHS, "opacity": 1}
 
 
 def _rotated(rows: DataFrame, column: str, d: int, options: Options) -> DataFrame:
@@ -159,63 +163,113 @@ def stored_bits(options: Options) -> int:
 
 def _pack(codes: np.ndarray, bits: int) -> np.ndarray:
     """Codes as a bit stream, the first in the high bits; a byte each for other widths."""
-    flat = codes.ravel().astype(np.uint8)
+    flat = codes.ravel().astype(np.uint8, copy=False)
     if bits not in (2, 3, 4):
         return flat
-    planes = (flat[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1
-    whole = planes.ravel()
     group = {2: 8, 3: 24, 4: 8}[bits]
-    return np.packbits(np.concatenate([whole, np.zeros(-len(whole) % group, dtype=np.uint8)]))
+    parts = []
+    for at in range(0, len(flat), STRETCH):
+        whole = ((flat[at : at + STRETCH, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1).ravel()
+        parts.append(np.packbits(np.concatenate([whole, np.zeros(-len(whole) % group, dtype=np.uint8)])))
+    return np.concatenate(parts) if parts else flat
 
 
 def _unpack(data: np.ndarray, bits: int, n: int) -> np.ndarray:
     if bits not in (2, 3, 4):
         return data[:n]
-    planes = np.unpackbits(data)[: n * bits].reshape(n, bits)
-    return (planes << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=1).astype(np.uint8)
+    out = np.empty(n, dtype=np.uint8)
+    for at in range(0, n, STRETCH):
+        m = min(STRETCH, n - at)
+        planes = np.unpackbits(data[at * bits // 8 : -(-(at + m) * bits // 8)])[: m * bits].reshape(m, bits)
+        out[at : at + m] = (planes << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=1)
+    return out
+
+
+def _kind(bits: int) -> np.dtype:
+    """The integers that codes are stored as."""
+    return np.dtype("<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4")
+
+
+def _blocks(coded: DataFrame, options: Options) -> list:
+    """A coded table in its order as rows of bytes, one for each Arrow batch: n, sh_norm,
+    sh_codes and, for each scalar attribute, its codes, low and step."""
+    kinds = {name: _kind(bits) for name, bits in options.bits().items()} | {"sh_codes": np.dtype("u1")}
+
+    def flat(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = {"n": batch.num_rows, "sh_norm": batch.column("sh_norm").to_numpy(zero_copy_only=False).astype("<f2").tobytes()}
+            for name, kind in kinds.items():
+                values = batch.column(name).flatten()
+                if values.null_count or batch.column(name).null_count:
+                    raise ValueError(f"null in {name}")
+                out[name] = values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                if name != "sh_codes":
+                    out |= {f"{name}_{x}": batch.column(f"{name}_{x}")[0].as_py() for x in ("low", "step")}
+            yield pa.RecordBatch.from_pylist([out])
+
+    order = ["morton", "splat_id"] if "morton" in coded.columns else ["splat_id"]
+    schema = "n bigint, sh_norm binary, " + ", ".join(f"{c} binary, {c}_low double, {c}_step double" for c in options.bits()) + ", sh_codes binary"
+    names = [c for c in coded.columns if c not in ("splat_id", "morton", "scene")]
+    return coded.orderBy(*order).select(*names).mapInArrow(flat, schema).collect()
 
 
 def to_arrays(coded: DataFrame, options: Options) -> dict[str, np.ndarray]:
     """A coded table as named arrays: positions as wrapped deltas, 16 bit codes by byte
-    planes, sh codes packed. Collects the table; over CONTAINER_ROWS rows are refused."""
+    planes, sh codes packed. Collects the table, as bytes; over CONTAINER_ROWS rows are refused."""
     if coded.limit(CONTAINER_ROWS + 1).count() > CONTAINER_ROWS:
         raise ValueError(f"over {CONTAINER_ROWS} rows: keep the coded table as Parquet")
-    order = ["morton", "splat_id"] if "morton" in coded.columns else ["splat_id"]
-    rows = coded.orderBy(*order).toPandas()
-    out: dict[str, np.ndarray] = {"n": np.array(len(rows), dtype=np.int32)}
+    blocks = _blocks(coded, options)
+    n = sum(b["n"] for b in blocks)
+    whole = lambda name, kind: np.frombuffer(b"".join(b[name] for b in blocks), dtype=kind)
+    out: dict[str, np.ndarray] = {"n": np.array(n, dtype=np.int32)}
     for name, bits in options.bits().items():
-        q = np.array(rows[name].tolist(), dtype=np.int64).reshape(len(rows), -1)
-        kind = np.dtype("<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4")
+        kind = _kind(bits)
+        flat = whole(name, kind)
         if name == "xyz" and kind.itemsize == 2:
-            q = np.diff(q, axis=0, prepend=np.zeros((1, q.shape[1]), dtype=np.int64)) % 65536
-        flat = q.astype(kind)
-        out[name] = flat.view("u1").reshape(-1, kind.itemsize).T.ravel().copy() if kind.itemsize > 1 else flat.ravel()
-        out[f"{name}_range"] = np.array([rows[f"{name}_low"].iloc[0], rows[f"{name}_step"].iloc[0]] if len(rows) else [0.0, 1.0])
-    out["sh_norm"] = rows["sh_norm"].to_numpy(dtype=np.float16)
-    out["sh_codes"] = _pack(np.array(rows["sh_codes"].tolist(), dtype=np.uint8), options.sh_bits)
+            # unsigned differences wrap at 2^16
+            flat = np.diff(flat.reshape(n, WIDTHS[name]), axis=0, prepend=np.zeros((1, WIDTHS[name]), dtype=kind)).ravel()
+        out[name] = flat.view("u1").reshape(-1, kind.itemsize).T.ravel().copy() if kind.itemsize > 1 else flat
+        out[f"{name}_range"] = np.array([blocks[0][f"{name}_low"], blocks[0][f"{name}_step"]] if n else [0.0, 1.0])
+    out["sh_norm"] = whole("sh_norm", "<f2")
+    out["sh_codes"] = _pack(whole("sh_codes", "u1"), options.sh_bits)
     out["rotation"] = np.array(codebook.rotation(max(options.rest_width, 1), options.seed), dtype=np.float32)
     return out
 
 
 def from_arrays(spark, arrays: dict[str, np.ndarray], options: Options) -> DataFrame:
-    """The inverse of to_arrays: a coded table whose splat_id is the stored order."""
-    import pandas as pd
-
+    """The inverse of to_arrays: a coded table whose splat_id is the stored order. Blocks
+    of BLOCK_ROWS rows leave the driver as bytes and become rows in the tasks."""
     n = int(arrays["n"])
-    cols: dict = {"splat_id": np.arange(n, dtype=np.int64)}
+    parts, lows = {}, {}
     for name, bits in options.bits().items():
-        kind = np.dtype("<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4")
-        data = arrays[name]
-        width = len(data) // max(n, 1) // kind.itemsize
-        q = (data.reshape(kind.itemsize, -1).T.copy().view(kind) if kind.itemsize > 1 else data).reshape(n, width).astype(np.int64)
+        kind, data = _kind(bits), arrays[name]
+        q = (data.reshape(kind.itemsize, -1).T.copy().view(kind) if kind.itemsize > 1 else data).reshape(n, WIDTHS[name])
         if name == "xyz" and kind.itemsize == 2:
-            q = np.cumsum(q, axis=0) % 65536
-        cols[name] = q.astype(np.int32).tolist()
-        cols[f"{name}_low"], cols[f"{name}_step"] = float(arrays[f"{name}_range"][0]), float(arrays[f"{name}_range"][1])
-    cols["sh_codes"] = _unpack(arrays["sh_codes"], options.sh_bits, n * options.rest_width).reshape(n, options.rest_width).astype(np.int32).tolist()
-    cols["sh_norm"] = arrays["sh_norm"].astype(np.float32)
+            q = np.cumsum(q, axis=0, dtype=kind)
+        parts[name] = q
+        lows[name] = tuple(map(float, arrays[f"{name}_range"]))
+    parts["sh_codes"] = _unpack(arrays["sh_codes"], options.sh_bits, n * options.rest_width).reshape(n, options.rest_width)
+    parts["sh_norm"] = arrays["sh_norm"]
+    shapes = {name: (q.dtype, q.shape[1]) for name, q in parts.items() if name != "sh_norm"}
+
+    def rows(batches):
+        for batch in batches:
+            for b in batch.to_pylist():
+                out = {"splat_id": pa.array(np.arange(b["first"], b["first"] + b["n"], dtype=np.int64))}
+                for name, (kind, width) in shapes.items():
+                    values = pa.array(np.frombuffer(b[name], dtype=kind).astype(np.int32))
+                    out[name] = pa.ListArray.from_arrays(pa.array(np.arange(b["n"] + 1, dtype=np.int32) * width), values)
+                    if name in lows:
+                        out |= {f"{name}_{x}": pa.array(np.full(b["n"], v)) for x, v in zip(("low", "step"), lows[name], strict=True)}
+                out["sh_norm"] = pa.array(np.frombuffer(b["sh_norm"], dtype="<f2").astype(np.float32))
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    blocks = [(at, min(BLOCK_ROWS, n - at), *(q[at : at + BLOCK_ROWS].tobytes() for q in parts.values())) for at in range(0, n, BLOCK_ROWS)]
+    stored = spark.createDataFrame(blocks, "first bigint, n bigint, " + ", ".join(f"{c} binary" for c in parts))
     schema = "splat_id bigint, " + ", ".join(f"{c} array<int>, {c}_low double, {c}_step double" for c in options.bits()) + ", sh_codes array<int>, sh_norm float"
-    return spark.createDataFrame(pd.DataFrame(cols), schema)
+    return stored.mapInArrow(rows, schema)
 
 
 def compress_file(spark: SparkSession, path: str, to: str, options: Options = Options()) -> int:

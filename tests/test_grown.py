@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiantlake import catalog
-from radiantlake.operators import ordering
+from radiantlake.operators import attributes, ordering
+from radiantlake.plans import codecs
 
 ROWS = 20_000
 
@@ -53,3 +54,27 @@ def test_numbers_have_no_gaps(spark, narrow, cell_rows):
     assert keys == sorted(keys)
     none = ordering.numbered(df.where("a < 0"), ["a"], cell_rows=cell_rows)
     assert none.count() == 0 and none.schema["ordinal"].dataType.simpleString() == "bigint"
+
+
+@pytest.mark.parametrize("bits", [2, 3, 4, 5])
+def test_containers_by_blocks(spark, grown, monkeypatch, bits):
+    """Blocks and stretches that end anywhere change no byte and no row; a table may be empty."""
+    options = codecs.Options(sh_bits=bits, sh_degree=1)
+    coded = codecs.compress(attributes.from_embeddings(spark, grown).where("splat_id < 300"), options).drop("scene").cache()
+    whole = codecs.to_arrays(coded, options)
+    monkeypatch.setattr(codecs, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(codecs, "STRETCH", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        parts = codecs.to_arrays(coded, options)
+        back = codecs.from_arrays(spark, parts, options).orderBy("splat_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole.keys() == parts.keys() and all(np.array_equal(v, parts[k]) for k, v in whole.items())
+    want = coded.orderBy("splat_id").collect()
+    assert [r.splat_id for r in back] == list(range(len(want))) and len(want) == 100
+    for b, w in zip(back, want, strict=True):
+        assert all(b[c] == w[c] for c in back[0].asDict() if c not in ("splat_id", "sh_norm"))
+        assert b.sh_norm == np.float16(w.sh_norm)
+    none = codecs.to_arrays(coded.where("splat_id < 0"), options)
+    assert none["n"] == 0 and codecs.from_arrays(spark, none, options).count() == 0
